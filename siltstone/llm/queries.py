@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, secret_scan
+from . import language_id, packing, secret_scan, token_binary, vector_join, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,23 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op6_secret_scan)}
+def op4_vector_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.range_join(table(spark, sf_dir, "embeddings"))
+
+
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_binary.read(token_binary.write(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_packing, op4_vector_range_join, op6_secret_scan, op9_token_binary, op10_warc)
+}
 
 ORACLE_SQL: dict[str, str] = {}
