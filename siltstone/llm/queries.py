@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, packing, secret_scan, token_binary, vector_join, warc
+from . import language_id, line_dedup, ngram_join, packing, secret_scan, token_binary, vector_join, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_vector_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.range_join(table(spark, sf_dir, "embeddings"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.find_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_packing, op4_vector_range_join, op6_secret_scan, op8_ngram_join, op9_token_binary, op10_warc)
+    for f in (op1_language_id, op2_packing, op4_vector_range_join, op6_secret_scan, op7_line_dedup, op8_ngram_join, op9_token_binary, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {}
