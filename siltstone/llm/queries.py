@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, ngram_join, packing, secret_scan, token_binary, vector_join, warc
+from . import decontaminate, language_id, line_dedup, ngram_join, packing, secret_scan, token_binary, vector_join, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -54,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_packing, op4_vector_range_join, op6_secret_scan, op7_line_dedup, op8_ngram_join, op9_token_binary, op10_warc)
+    for f in (op1_language_id, op2_packing, op4_vector_range_join, op5_decontaminate, op6_secret_scan, op7_line_dedup, op8_ngram_join, op9_token_binary, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {}
