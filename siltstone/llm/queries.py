@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, ngram_join, packing, secret_scan, token_binary, vector_join, warc
+from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, secret_scan, token_binary, vector_join, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode_outer("licenses").alias("l")).select("doc_id", "l.*")
+
+
 def op4_vector_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.range_join(table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_packing, op4_vector_range_join, op5_decontaminate, op6_secret_scan, op7_line_dedup, op8_ngram_join, op9_token_binary, op10_warc)
+    for f in (op1_language_id, op2_packing, op3_license_scan, op4_vector_range_join, op5_decontaminate, op6_secret_scan, op7_line_dedup, op8_ngram_join, op9_token_binary, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {}
