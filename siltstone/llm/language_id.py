@@ -191,6 +191,25 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
+    """The rows whose text has a letter and a language with at least ``least_score``;
+    columns as they were.  The decision is made for each row from its own text."""
+    import pandas as pd
+
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def good(texts: pd.Series) -> pd.Series:
+        found: list[bool] = []
+        for at in range(0, len(texts), 256):
+            part = [None if t is None else bytes(t) for t in texts.iloc[at : at + 256]]
+            found += [name != "und" and score >= least_score for name, score in shared.value.predict(part)]
+        return pd.Series(found, dtype=bool)
+
+    return docs.where(F.pandas_udf(good, "boolean")(F.col("text").cast("binary")))
+
+
 def held_out() -> "F.Column":
     """Whether a row is kept from training: crc32 of doc_id as text, modulo 5, is 0."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
