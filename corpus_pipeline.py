@@ -1,8 +1,74 @@
-"""Cleaning of a training corpus: stages over ``documents``."""
+"""Cleaning of a training corpus: five stages over ``documents``.
 
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
+kept; :func:`run` writes each result as Parquet in the shared folder and reads it
+again as the next stage's docs.  All stages but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import decontaminate, language_id, line_dedup, ngram_join, packing
+from siltstone.llm.common import materialize
+
+#: A text of which fewer n-grams than this share belong to its language is rejected.
+LEAST_LANGUAGE_SCORE = 0.1
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter and a recognised language stay."""
+    model = language_id.train(docs.where(~language_id.held_out()))
+    return language_id.accepted(docs, model, LEAST_LANGUAGE_SCORE)
+
+
+def line_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal and nearly equal lines the first stays; emptied documents go."""
+    return line_dedup.dedup(docs)
+
+
+def near_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays.
+
+    Rows without a doc_id stay; of rows that are equal in doc_id and text one does.
+    """
+    found = materialize(ngram_join.join(docs), "near-duplicates")
+    dropped = found.where("component_id != doc_id").select("doc_id")
+    left = docs.join(materialize(dropped, "near-dropped"), "doc_id", "left_anti").select(*docs.columns)
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        left = left.where("doc_id is null").union(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return left
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontaminate.clean(docs, benchmark)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens, with their ids."""
+    pieces = packing.pack(docs)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
+
+
+STAGES = [
+    ("language ID", identified),
+    ("line dedup", line_deduped),
+    ("n-gram Jaccard join", near_deduped),
+    ("benchmark decontamination", decontaminated),
+    ("packing", packed),
+]
+
+#: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the cleaned ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
