@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, text_bytes
-from .tokens import encoder, vocabulary
+from .tokens import encoder, slices, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -165,8 +165,7 @@ def pack(
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch):
                 for doc_id, ids in zip(part.column(0).to_pylist(), codec.encode(part.column(1).to_pylist()), strict=True):
                     packer.add(doc_id, ids + end)
                 yield from rows(2000)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialize, ship, text_bytes, work_path
-from .tokens import encoder, vocabulary
+from .tokens import encoder, slices, vocabulary
 
 #: Fixed values of the zstandard (seekable) format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -166,8 +166,7 @@ def write(
 
         codec, end, writer, stream = encoder(words), np.array([end_id], "<u4").tobytes(), None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch):
                 if writer is None and part.num_rows:
                     number = TaskContext.get().partitionId()
                     fs, local = filesystem(folder)

@@ -3,16 +3,25 @@
 The word-level vocabulary drops white space and never joins characters across
 it, so the ids of a text are the ids of its white-space separated chunks in
 order.  A worker keeps the ids of the chunks that it has seen (as little-endian
-32-bit bytes) and asks the library only for new ones.
+32-bit bytes), up to a fixed number, and asks the library for all others.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import sys
+from array import array
 
 _KEPT: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
+assert array("I").itemsize == 4 and sys.byteorder == "little"
+
+#: Characters beyond U+023F.
+BEYOND = re.compile("[^\u0000-\u023f]")
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -20,13 +29,21 @@ class ChunkEncoder:
     the library.  ``limit`` bounds the chunks that are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
+        self.turned_away = 0  # chunks not remembered since the memory is full
+        self.words = Tokenizer.from_str(self.tokenizer.to_str())
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        model = self.words.model
+        model._resize_cache(0)  # words come here once only
+        self.words.model = model
+        self.tails = {t: b"".join(self._batches(self.tokenizer, [t])) for t in ("", ".", ",")}
         self.whole = not self._splits_at_white_space()
 
     def _splits_at_white_space(self) -> bool:
@@ -34,49 +51,73 @@ class ChunkEncoder:
         runs of white space, punctuation, digits, case and combining marks."""
         probes = ["a b", "  Ab,\n\tc1 2d.. e's  été x́ y", "do n't I'll\r\n(z) w"]
         encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        return all(encode(p) == [i for c in p.encode().split() for i in encode(c.decode())] for p in probes)
-
-    def _library(self, chunks: list[bytes]) -> list[bytes]:
-        import numpy as np
+        words = "déjà naïve straße łódź ñandú the of x"
+        return all(encode(p) == [i for c in p.encode().split() for i in encode(c.decode())] for p in probes) and encode(words) == [
+            i for w in words.split() for i in self.words.encode(w, add_special_tokens=False).ids
+        ]
 
+    @staticmethod
+    def _batches(tokenizer, texts: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(chunks), 2000):
-            texts = [c.decode("utf-8", "replace") for c in chunks[i : i + 2000]]
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for i in range(0, len(texts), 2000):
+            found = tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in found]
         return out
 
-    @staticmethod
-    def _base(chunk: bytes) -> tuple[bytes, bytes]:
-        """A chunk as (what is looked up, tail): one full stop, comma or bar
-        after an ASCII letter or digit is a token of its own, and case does not
-        matter up to U+023F (where lower case needs no context)."""
-        tail = b""
-        if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalnum():
-            chunk, tail = chunk[:-1], chunk[-1:]
-        if max(chunk) <= 0xC8 and b"<|" not in chunk:
-            chunk = chunk.decode("utf-8", "replace").lower().encode()
-        return chunk, tail
+    def _library(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of texts; words of plain lower-case letters up to U+023F are in
+        normal form and one piece, so they need neither of these steps."""
+        plain = [t for t in texts if t.isalpha() and not BEYOND.search(t)]
+        rest = [t for t in texts if not t.isalpha() or BEYOND.search(t)]
+        return dict(zip(plain + rest, self._batches(self.words, plain) + self._batches(self.tokenizer, rest), strict=True))
+
+    def _bases(self, chunks: list[bytes]) -> list[tuple[str, str]]:
+        """Chunks as (what is looked up, tail): one full stop or comma after an
+        ASCII letter or digit is a token of its own, and case does not matter up
+        to U+023F (where lower case needs no context)."""
+        texts = b"\n".join(chunks).decode("utf-8", "replace")
+        if BEYOND.search(texts) or "<|" in texts:
+            texts = [t if BEYOND.search(t) or "<|" in t else t.lower() for t in texts.split("\n")]
+        else:
+            texts = texts.lower().split("\n")
+        out = []
+        for t in texts:
+            if t[-1] in ".," and t[-2:-1].isalnum() and t[-2].isascii():
+                out.append((t[:-1], t[-1]))
+            else:
+                out.append((t, ""))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self.whole:
-            return self._library(texts)
-        known, split = self.known, [t.split() for t in texts]
-        new = set().union(*split) - known.keys() if split else set()
+            return self._batches(self.tokenizer, [t.decode("utf-8", "replace") for t in texts])
+        if self.turned_away > 8 * self.limit:  # the texts have changed
+            self.known.clear()
+            self.turned_away = 0
+        known = self.known
+        get = known.get
+        split = [t.split() for t in texts]
+        found = [list(map(get, s)) for s in split]
+        new = {c for s, f in zip(split, found, strict=True) if None in f for c, ids in zip(s, f, strict=True) if ids is None}
         if new:
-            if len(known) + len(new) > self.limit and known:
-                known.clear()
-                new = set().union(*split)
-            pairs = {c: self._base(c) for c in new}
-            missing = list({b for p in pairs.values() for b in p if b} - known.keys())
-            known.update(zip(missing, self._library(missing), strict=True))
-            known[b""] = b""
-            for c, (base, tail) in pairs.items():
-                known[c] = known[base] + known[tail]
-        get = known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-
-def encoder(path: str, limit: int = 500_000) -> ChunkEncoder:
+            new = list(new)
+            pairs = self._bases(new)
+            ids_of = {b: get(b.encode()) for b, _ in pairs}
+            ids_of.update(self._library([b for b, ids in ids_of.items() if ids is None]))
+            fresh = {c: ids_of[b] + self.tails[t] for c, (b, t) in zip(new, pairs, strict=True)}
+            if len(known) < self.limit:
+                known.update(fresh)
+            else:
+                self.turned_away += len(fresh)
+            look = fresh.__getitem__
+            found = [
+                f if None not in f else [look(c) if ids is None else ids for c, ids in zip(s, f, strict=True)]
+                for s, f in zip(split, found, strict=True)
+            ]
+        return list(map(b"".join, found))
+
+
+def encoder(path: str, limit: int = 250_000) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file; kept between tasks."""
     if (path, limit) not in _KEPT:
         _KEPT.clear()
@@ -84,6 +125,21 @@ def encoder(path: str, limit: int = 500_000) -> ChunkEncoder:
     return _KEPT[path, limit]
 
 
+def slices(batch, rows: int = 2000, size: int = 16 << 20):
+    """Parts of an Arrow batch (second column: texts) of bounded rows and bytes."""
+    import pyarrow.compute as pc
+
+    lengths = pc.binary_length(batch.column(1)).to_pylist()
+    start = total = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= rows or total + n > size):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(lengths):
+        yield batch.slice(start)
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Place of a public vocabulary file on this machine (never copied)."""
     import public_tokenizers
