@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -272,8 +273,6 @@ def _lookup(docs: DataFrame, index: BenchmarkIndex, least_cover: float):
 
 
 def _found_udf(docs: DataFrame, index: BenchmarkIndex, least_cover: float):
-    import pandas as pd
-
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,8 +195,6 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def accepted(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
     """The rows whose text has a letter and a language with at least ``least_score``;
     columns as they were.  The decision is made for each row from its own text."""
-    import pandas as pd
-
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
