@@ -46,6 +46,12 @@ def might_contain(probes: DataFrame, bits: DataFrame, shape: BloomShape) -> Data
     return hit.groupBy("key").agg((F.count("set") == F.count("*")).alias("might_contain"))
 
 
+def skipped(probes: DataFrame, bits: DataFrame, shape: BloomShape) -> DataFrame:
+    """How many probes there are, and how many the filter rules out (O-B7)."""
+    found = might_contain(probes, bits, shape)
+    return found.agg(F.count("*").alias("probes"), F.count_if(~F.col("might_contain")).alias("skipped"))
+
+
 def to_bytes(bits: DataFrame, shape: BloomShape) -> bytes:
     """Serialised bits, lowest first (fixed size: the filter's own)."""
     out = bytearray(-(-shape.bits // 8))

@@ -38,6 +38,7 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     bits = bloom.build(present, shape)
     again = bloom.from_bytes(spark, bloom.to_bytes(bits, shape), shape)
     assert bloom.might_contain(present, again, shape).where("not might_contain").count() == 0
+    assert bloom.skipped(present.union(absent), bits, shape).first()["skipped"] > 0.95 * 20000
     wrong = bloom.might_contain(absent, bits, shape).where("might_contain").count()
     assert 0.3 * 200 < wrong < 3 * 200
     empty = bloom.build(present.limit(0), shape)
