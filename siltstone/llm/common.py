@@ -13,6 +13,7 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -46,11 +47,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors.
+    """Make this package importable on the executors, and bound Arrow batches.
 
-    Nothing to do where PYTHONPATH (or an installed package) has it; else the
+    For the import, nothing to do where PYTHONPATH (or an installed package) has it; else the
     package goes to the executors as a zip file, once a session.
     """
+    for name, value in BATCH_LIMITS.items():
+        spark.conf.set(name, value)
     root = Path(__file__).resolve().parents[2]
     listed = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     context = spark.sparkContext
@@ -67,6 +70,46 @@ def ship(spark: SparkSession) -> None:
     context._siltstone_shipped = True
 
 
+#: Bounds of an Arrow batch, so that long texts do not add up in a Python worker.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow, after which a worker gives free memory back."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """The worker's object for ``key``; it stays between tasks until another is asked
+    for, so that operators' memories do not add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        give_back()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def text_bytes(column: str | Column = "text") -> Column:
     """UTF-8 bytes of a string column; null counts as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
@@ -94,7 +137,7 @@ _MIX = np.array(
 class WordHashes(dict):
     """64-bit hash of a word, remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         import xxhash
 
         super().__init__()
@@ -162,16 +205,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     partial aggregation) and joins it back from written tables, so adaptive
     execution can split the neighbours of a hot id over many tasks.
     """
-    spark = edges.sparkSession
     current = materialize(
         edges.where("src is not null and dst is not null and src != dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct(),
         "edges",
     )
-    state = _edge_state(current)
     for _ in range(max_rounds):
-        if state[0] == 0:
+        if _are_stars(current):
             break
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large-star")
@@ -182,19 +223,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v")))
         current = materialize(small.distinct(), "edges")
-        new = _edge_state(current)
-        if new == state:
-            break
-        state = new
+    else:
+        raise RuntimeError(f"no components after {max_rounds} rounds")
     found = current.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
     roots = current.select(F.col("v").alias("id")).distinct().join(found.select("id"), "id", "left_anti")
     out = found.union(roots.select("id", F.col("id").alias("component_id")))
-    return materialize(out, "components") if spark is not None else out
+    return materialize(out, "components")
 
 
-def _edge_state(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("s"),
-    ).first()
-    return row["n"], row["s"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every id is either a root or has one edge, which leads to a root."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per_id = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per_id.where("up > 1 or (up > 0 and down > 0)").isEmpty()

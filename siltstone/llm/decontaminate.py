@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes, window_hashes
+from .common import kept, ship, text_bytes, tidy, window_hashes
 
 #: Words that stand for units of measure.
 UNITS = frozenset(
@@ -82,7 +82,7 @@ class TemplateReader:
 
     Chunks are remembered, up to ``limit``, as numbers of rows in tables."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
         self._clear()
 
@@ -208,7 +208,7 @@ def find(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     out = None
     for index in _blocks(benchmark, window, least_literal, block_items, block_words):
-        part = rows.mapInArrow(_lookup(docs, index, least_cover), f"doc_id long, matches array<struct<{_fields()}>>")
+        part = rows.mapInArrow(tidy(_lookup(docs, index, least_cover)), f"doc_id long, matches array<struct<{_fields()}>>")
         part = part.where(F.size("matches") > 0)
         out = part if out is None else out.union(part)
     if out is None:
@@ -241,13 +241,8 @@ def _blocks(benchmark: DataFrame, window: int, least_literal: int, block_items:
         yield BenchmarkIndex(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in own), window, least_literal)
 
 
-_READERS: list[TemplateReader] = []
-
-
 def _reader() -> TemplateReader:
-    if not _READERS:
-        _READERS.append(TemplateReader())
-    return _READERS[0]
+    return kept("templates", TemplateReader)
 
 
 def _lookup(docs: DataFrame, index: BenchmarkIndex, least_cover: float):

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes
+from .common import ship, text_bytes, tidy
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 MOST_LANGUAGES = 64
@@ -151,7 +151,7 @@ def train(
                     [pa.array([lang] * len(found)), pa.array(found.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "c"]
                 )
 
-    counted = sample.select(text_bytes().alias("text"), "lang").mapInArrow(count, "lang string, gram long, c long")
+    counted = sample.select(text_bytes().alias("text"), "lang").mapInArrow(tidy(count), "lang string, gram long, c long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     of_lang = Window.partitionBy("lang")
     common = counted.withColumn("total", F.sum("c").over(of_lang)).withColumn(
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     ["doc_id", "lang_pred", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:

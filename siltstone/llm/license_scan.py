@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes
+from .common import ship, text_bytes, tidy
 
 #: Well-known license statements and notices.
 TEMPLATES = {
@@ -188,4 +188,4 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, least_cove
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "licenses"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, licenses array<struct<{fields}>>")
+    return rows.mapInArrow(tidy(run), f"doc_id long, licenses array<struct<{fields}>>")

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes
+from .common import ship, text_bytes, tidy
 from .tokens import encoder, slices, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -172,4 +172,4 @@ def pack(
         packer.finish()
         yield from rows(0)
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(tidy(run), SCHEMA)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes
+from .common import kept, ship, text_bytes, tidy
 
 
 @dataclass(frozen=True)
@@ -198,9 +198,6 @@ class TrigramScanner:
         return [sorted(x) for x in out]
 
 
-_KEPT: dict[tuple, TrigramScanner] = {}
-
-
 def scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and secrets: array of (kind, start, end, base) by start, then by
     the order of ``rules``."""
@@ -211,9 +208,7 @@ def scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-        if rules not in _KEPT:
-            _KEPT[rules] = TrigramScanner(rules)
-        scanner = _KEPT[rules]
+        scanner = kept(("secrets", rules), lambda: TrigramScanner(rules))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -223,7 +218,7 @@ def scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["doc_id", "secrets"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(tidy(run), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, ship, text_bytes, work_path
+from .common import filesystem, materialize, ship, text_bytes, tidy, work_path
 from .tokens import encoder, slices, vocabulary
 
 #: Fixed values of the zstandard (seekable) format.
@@ -185,7 +185,7 @@ def write(
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialize(rows.mapInArrow(run, MANIFEST), "token-manifest")
+    manifest = materialize(rows.mapInArrow(tidy(run), MANIFEST), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -225,4 +225,4 @@ def read(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
     shards = max(1, manifest.select("shard").count())
     spread = materialize(manifest.select("shard", "path", "first_token"), "token-starts").repartitionByRange(shards, "shard")
     ship(spark)
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spread.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")

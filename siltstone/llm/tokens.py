@@ -13,8 +13,7 @@ import re
 import sys
 from array import array
 
-_KEPT: dict[tuple[str, int], "ChunkEncoder"] = {}
-
+from .common import kept
 
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
@@ -29,7 +28,7 @@ class ChunkEncoder:
     the library.  ``limit`` bounds the chunks that are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -117,15 +116,12 @@ class ChunkEncoder:
         return list(map(b"".join, found))
 
 
-def encoder(path: str, limit: int = 250_000) -> ChunkEncoder:
+def encoder(path: str, limit: int = 150_000) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file; kept between tasks."""
-    if (path, limit) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path, limit] = ChunkEncoder(path, limit)
-    return _KEPT[path, limit]
+    return kept(("chunks", path, limit), lambda: ChunkEncoder(path, limit))
 
 
-def slices(batch, rows: int = 2000, size: int = 16 << 20):
+def slices(batch, rows: int = 2000, size: int = 6 << 20):
     """Parts of an Arrow batch (second column: texts) of bounded rows and bytes."""
     import pyarrow.compute as pc
 

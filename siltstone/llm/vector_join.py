@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, ship
+from .common import components, materialize, ship, tidy
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -57,7 +57,7 @@ def _raw_vectors(vectors: DataFrame) -> DataFrame:
     # adding 0.0 makes -0.0 and 0.0 equal
     doubles = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), doubles.alias("v"))
-    return slim.mapInArrow(run, "vec_id long, label string, vec binary")
+    return slim.mapInArrow(tidy(run), "vec_id long, label string, vec binary")
 
 
 def range_join(
@@ -162,7 +162,7 @@ def _in_cells(reps: DataFrame, pivots: dict, eps: float) -> DataFrame:
                         ["label", "size", "cell", "home", "rep", "n", "key", "vec"],
                     )
 
-    return reps.select("label", "rep", "n", "vec", "key").mapInArrow(run, schema)
+    return reps.select("label", "rep", "n", "vec", "key").mapInArrow(tidy(run), schema)
 
 
 def _joined(threshold: float):

@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, ship, text_bytes, work_path
+from .common import filesystem, materialize, ship, text_bytes, tidy, work_path
 
 GZIP_START = b"\x1f\x8b\x08"
 VERSION_START = b"WARC/1."
@@ -235,7 +235,7 @@ def write(
     repeated = materialize(revisits(pages, least_bytes), "revisits")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_bytes("html").alias("payload")).withColumn("digest", F.sha1("payload"))
     rows = rows.join(repeated, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
-    return materialize(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return materialize(rows.mapInArrow(tidy(run), "path string, records long, bytes long"), "warc-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -284,4 +284,4 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield packed(rows)
 
     archives = max(1, manifest.count())
-    return manifest.select("path").repartitionByRange(archives, "path").mapInArrow(run, schema)
+    return manifest.select("path").repartitionByRange(archives, "path").mapInArrow(tidy(run), schema)
