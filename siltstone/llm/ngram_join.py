@@ -11,16 +11,16 @@ documents link when their Jaccard similarity is at least ``percent`` / 100.
    tokens occur in another set.  A set with too few cannot have a link and leaves.
 3. The remaining sets meet in cells of equal min-hash (``rounds`` rounds, linear in
    the cells) and are joined there by signature trees.
-4. Completion, exact: remaining sets meet in the cells of all their prefix tokens;
-   cells inside one component are dropped, and all pairs of the others are covered
-   by signature trees, block by block.
+4. Completion, exact: remaining sets meet in the cells of their rarest tokens (see
+   ``_completion``); cells inside one component are dropped, overlapping ones are
+   merged, and all pairs are covered by signature trees, block by block.
 
 In the trees, nodes hold OR-combined token bitmaps and size ranges, and a dual
 traversal drops pairs of nodes by their largest possible overlap; what is left is
 compared exactly.  No link between different components is lost by any step.
 
 Null and empty texts have an empty set and link with nothing.  Repeated rows are
-equal sets.  Other columns are ignored.  Documents with fewer than ``k`` words are
+equal sets; rows that share a doc_id but not a text count as one document.  Other columns are ignored.  Documents with fewer than ``k`` words are
 one shingle.  An empty table gives no rows.
 """
 
@@ -29,26 +29,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, ship, shingle_set, text_bytes
-from .similarity import cell_links, united, with_component
+from .common import WordHashes, materialize, shingle_set, ship, text_bytes, tidy
+from .similarity import cell_links, merged_cells, united, with_component
 
 #: Rows up to which the ids of remaining documents are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 
 
-def prefix_parts(n, percent: int):
-    """(tokens that surely hold one common token, l(n), size of the counted prefix)."""
-    basic = n + (-n * percent // 100) + 1
-    extra = np.maximum(1, n // 5) if isinstance(n, np.ndarray) else max(1, n // 5)
-    return basic, extra, basic - 1 + extra
-
-
-def least_common(n: int, percent: int) -> int:
-    """Prefix tokens that a set of n tokens shares with any linked set at least."""
-    return max(1, -(-n * percent // 100) // 5)
+def counted_prefix(n: int, percent: int) -> int:
+    """Size of the prefix whose tokens are counted: n - ceil(0.8 n) + l(n)."""
+    return n + (-n * percent // 100) + max(1, n // 5)
 
 
 def _shingles(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -67,13 +60,13 @@ def _shingles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     tokens = shingle_set(text.lower().split(), k, hashes)
                     n.append(len(tokens))
                     digest.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
-                    prefix.append(tokens[: prefix_parts(len(tokens), percent)[2]].tobytes() if len(tokens) else None)
+                    prefix.append(tokens[: counted_prefix(len(tokens), percent)].tobytes() if len(tokens) else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "prefix"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes())
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, prefix binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n long, digest binary, prefix binary")
 
 
 def _common_counts(sets: DataFrame, bucket_bits: int) -> DataFrame:
@@ -119,7 +112,7 @@ def _common_counts(sets: DataFrame, bucket_bits: int) -> DataFrame:
         found, counts = np.unique(owners[shared], return_counts=True)
         return pd.DataFrame({"owner": found.astype(np.int64), "common": counts})
 
-    dealt = sets.select("digest", "prefix").mapInArrow(deal, "bucket int, tokens binary, owners binary")
+    dealt = sets.select("digest", "prefix").mapInArrow(tidy(deal), "bucket int, tokens binary, owners binary")
     counted = dealt.groupBy("bucket").applyInPandas(count, "owner long, common long")
     return counted.groupBy("owner").agg(F.sum("common").alias("common"))
 
@@ -148,7 +141,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, k: int) -> DataFrame
 
     ids = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, n long, tokens binary, least array<long>").dropDuplicates(["id"])
+    return rows.mapInArrow(tidy(run), "id long, n long, tokens binary, least array<long>")
 
 
 def join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
@@ -165,7 +158,7 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int = 2) ->
     owner = F.expr("conv(substr(hex(reverse_bytes), 1, 16), 16, -10)")
     slim = reps.withColumn("reverse_bytes", F.concat(*[F.substring("digest", i, 1) for i in range(8, 0, -1)]))
     slim = slim.select("rep", "n", owner.cast("long").alias("owner"))
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 5))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 5))  # l(m) of the smallest set that can link
     left = materialize(slim.join(common, "owner").where(F.col("common") >= least).select(F.col("rep").alias("id")), "linkable")
     items = materialize(_full_sets(docs, left, left.count(), k), "token-sets")
     edges = []
@@ -183,7 +176,14 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int = 2) ->
 
 
 def _completion(items: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links between components: all pairs of sets that share a token of their prefixes."""
+    """Links between components, exactly.
+
+    Tokens are ordered by the number of sets that hold them, those that occur in
+    one component only first.  Linked sets of different components share all
+    tokens of their intersection across components, so a set with fewer than
+    ceil(0.8 n) such tokens has no link, and otherwise the least common token of a
+    linked pair is among the first n - ceil(0.8 n) + 1 tokens of both.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -191,23 +191,22 @@ def _completion(items: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sizes = [prefix_parts(n, percent) for n in part.column(2).to_pylist()]
-                tokens = [np.frombuffer(t, "<i8")[: s[2]] for t, s in zip(part.column(3).to_pylist(), sizes, strict=True)]
-                counts = [len(t) for t in tokens]
-                which = pa.array(np.repeat(np.arange(part.num_rows), counts))
-                basic = np.concatenate([np.arange(len(t)) < s[0] for t, s in zip(tokens, sizes, strict=True)])
+                tokens = [np.frombuffer(t, "<i8") for t in part.column(3).to_pylist()]
+                which = pa.array(np.repeat(np.arange(part.num_rows), [len(t) for t in tokens]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), *(part.column(i).take(which) for i in range(3)), pa.array(basic)], ["key", "id", "comp", "n", "basic"]
+                    [pa.array(np.concatenate(tokens)), *(part.column(i).take(which) for i in range(3))], ["key", "id", "comp", "n"]
                 )
 
     rows = with_component(items.select("id", "n", "tokens"), found).select("id", "comp", "n", "tokens")
-    keys = materialize(rows.mapInArrow(run, "key long, id long, comp long, n long, basic boolean"), "prefix-tokens")
-    mixed = lambda x: x.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    keys = keys.join(materialize(mixed(keys), "mixed-tokens"), "key", "left_semi")
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 5))
-    enough = keys.groupBy("id", "n").agg(F.count("*").alias("common")).where(F.col("common") >= least).select("id")
-    keys = keys.where("basic").join(materialize(enough, "crossing-sets"), "id", "left_semi")
-    return cell_links(materialize(keys.select("key", "id", "comp"), "prefix-cells"), items, percent, whole=True)
+    keys = materialize(rows.mapInArrow(tidy(run), "key long, id long, comp long, n long"), "tokens")
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("df"))
+    keys = materialize(keys.join(materialize(mixed.where("low != high").select("key", "df"), "mixed-tokens"), "key"), "crossing-tokens")
+    least = F.ceil(F.col("n") * percent / 100)
+    slots = keys.groupBy("id", "n").agg(F.count("*").alias("common")).where(F.col("common") >= least).select("id", (F.col("common") - least + 1).alias("slots"))
+    keys = keys.join(materialize(slots, "crossing-sets"), "id")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
+    cells = keys.withColumn("place", place).where("place <= slots").select("key", "id", "comp")
+    return cell_links(merged_cells(materialize(cells, "prefix-cells")), items, percent, whole=True)
 
 
 def brute_force(texts: dict[int, str | None], k: int = 5, percent: int = 80) -> dict[int, tuple[int, int]]:

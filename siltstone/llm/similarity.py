@@ -6,6 +6,8 @@ that have a key in common; items of one cell are compared exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +105,8 @@ def linked_pairs(sets: list[np.ndarray], groups: list, side: np.ndarray | None,
     """Links that join all items of different groups that are connected by pairs
     with similarity >= percent; ``side``: only pairs of items of both sides count.
 
-    Pairs that are connected already are not compared.
+    Pairs that are connected already are not compared.  The links of a component
+    are returned as a star.
     """
     bits = 64
     longest = max((len(s) for s in sets), default=0)
@@ -125,7 +128,10 @@ def linked_pairs(sets: list[np.ndarray], groups: list, side: np.ndarray | None,
             if union.find(i) != union.find(j) and similar(sets[i], sets[j], percent):
                 union.union(i, j)
                 out.append((i, j))
-    return out
+    star = LocalUnionFind(len(sets))
+    for i, j in out:
+        star.union(i, j)
+    return [(star.find(i), i) for i in sorted({x for pair in out for x in pair}) if star.find(i) != i]
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -144,11 +150,18 @@ def with_component(items: DataFrame, found: DataFrame, item: str = "id") -> Data
     return items.join(known, item, "left").withColumn("comp", F.coalesce("component_id", item)).drop("component_id")
 
 
-def cell_links(cells: DataFrame, sets: DataFrame, percent: int, *, whole: bool, block_rows: int = 512) -> DataFrame:
+def read_tokens(data: bytes) -> np.ndarray:
+    """A set as it is stored: sorted hashes, little-endian."""
+    return np.frombuffer(data, "<u8")
+
+
+def cell_links(
+    cells: DataFrame, sets: DataFrame, percent: int, *, whole: bool, block_rows: int = 512, read: Callable[[bytes], np.ndarray] = read_tokens
+) -> DataFrame:
     """Links (src, dst) between items of different components that share a cell.
 
-    ``cells``: key, id, comp; ``sets``: id, tokens (sorted hashes, little-endian).
-    Cells whose items are all in one component are left out.  A cell is dealt by
+    ``cells``: key, id, comp; ``sets``: id, tokens (what ``read`` makes a sorted
+    set of).  Cells whose items are all in one component are left out.  A cell is dealt by
     hash of the id into blocks of about ``block_rows``.  With ``whole`` every pair
     of blocks is a task, so all pairs of the cell are covered; without, each block
     is joined within itself and with the cell's smallest id, which is linear in
@@ -180,7 +193,7 @@ def cell_links(cells: DataFrame, sets: DataFrame, percent: int, *, whole: bool,
     def join(block):
         import pandas as pd
 
-        tokens = [np.frombuffer(t, "<u8") for t in block["tokens"]]
+        tokens = [read(t) for t in block["tokens"]]
         side = None
         if int(block["a"].iloc[0]) != int(block["b"].iloc[0]):
             side = (block["own"] == block["a"]).to_numpy()
@@ -191,6 +204,26 @@ def cell_links(cells: DataFrame, sets: DataFrame, percent: int, *, whole: bool,
     return materialize(work.groupBy("key", "a", "b").applyInPandas(join, f"src {kind}, dst {kind}"), "cell-links")
 
 
+def merged_cells(cells: DataFrame, most: int = 2048) -> DataFrame:
+    """Cells (key, id, comp) with fewer rows that still bring together all items
+    which share one.
+
+    Cells that have items in common form a group; a group of at most ``most`` items
+    becomes one cell, so an item is in one cell and not in many.  Items of a larger
+    group stay in their own cells.
+    """
+    leaders = materialize(cells.groupBy("key").agg(F.min("id").alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high"), "cell-leaders")
+    cells = materialize(cells.join(leaders.select("key", "leader"), "key"), "open-cells")
+    group = components(cells.select(F.col("id").alias("src"), F.col("leader").alias("dst")))
+    group = with_component(cells.select("id").distinct(), group).withColumnRenamed("comp", "group")
+    sizes = group.groupBy("group").agg(F.count("*").alias("size"))
+    small = materialize(group.join(sizes.where(F.col("size") <= most), "group").select("id", "group"), "cell-groups")
+    named = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key")).alias("key")
+    merged = cells.select("id", "comp").distinct().join(small, "id").select(named(0, "group"), "id", "comp")
+    own = cells.join(small.select("id"), "id", "left_anti").select(named(1, "key"), "id", "comp")
+    return materialize(merged.union(own), "merged-cells")
+
+
 def united(edges: list[DataFrame]) -> DataFrame:
     """Components (id, component_id) of several tables of links."""
     out = edges[0]
