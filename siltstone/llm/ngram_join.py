@@ -191,18 +191,18 @@ def _completion(items: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                tokens = [np.frombuffer(t, "<i8") for t in part.column(3).to_pylist()]
+                tokens = [np.frombuffer(t, "<i8") for t in part.column(2).to_pylist()]
                 which = pa.array(np.repeat(np.arange(part.num_rows), [len(t) for t in tokens]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), *(part.column(i).take(which) for i in range(3))], ["key", "id", "comp", "n"]
+                    [pa.array(np.concatenate(tokens)), *(part.column(i).take(which) for i in range(2))], ["key", "id", "comp"]
                 )
 
-    rows = with_component(items.select("id", "n", "tokens"), found).select("id", "comp", "n", "tokens")
-    keys = materialize(rows.mapInArrow(tidy(run), "key long, id long, comp long, n long"), "tokens")
+    rows = with_component(items.select("id", "tokens"), found).select("id", "comp", "tokens")
+    keys = materialize(rows.mapInArrow(tidy(run), "key long, id long, comp long"), "tokens")
     mixed = keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("df"))
     keys = materialize(keys.join(materialize(mixed.where("low != high").select("key", "df"), "mixed-tokens"), "key"), "crossing-tokens")
     least = F.ceil(F.col("n") * percent / 100)
-    slots = keys.groupBy("id", "n").agg(F.count("*").alias("common")).where(F.col("common") >= least).select("id", (F.col("common") - least + 1).alias("slots"))
+    slots = keys.groupBy("id").agg(F.count("*").alias("common")).join(items.select("id", "n").distinct(), "id").where(F.col("common") >= least).select("id", (F.col("common") - least + 1).alias("slots"))
     keys = keys.join(materialize(slots, "crossing-sets"), "id")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
     cells = keys.withColumn("place", place).where("place <= slots").select("key", "id", "comp")

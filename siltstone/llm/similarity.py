@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from .common import LocalUnionFind, components, materialize
 
 
+#: Rows of cells (about 40 bytes each) up to which they are broadcast to the sets,
+#: which saves a shuffle of the sets.
+BROADCAST_ROWS = 500_000
+
+
 def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int):
     """Smallest intersection of sets of n and m tokens whose Jaccard similarity
     is at least percent / 100."""
@@ -187,7 +192,8 @@ def cell_links(
         )
     placed = placed.select("key", "id", "comp", "own", F.explode(units).alias("unit"))
     placed = materialize(placed.select("key", "id", "comp", "own", "unit.a", "unit.b"), "cell-blocks")
-    work = placed.join(sets.select("id", "tokens"), "id")
+    small = placed.count() <= BROADCAST_ROWS
+    work = sets.select("id", "tokens").join(F.broadcast(placed) if small else placed, "id")
     kind = dict(cells.dtypes)["id"]
 
     def join(block):
