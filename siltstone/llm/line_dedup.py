@@ -30,8 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, ship, text_bytes
-from .similarity import cell_links, similar, with_component
+from .common import components, materialize, ship, text_bytes, tidy
+from .similarity import cell_links, merged_cells, similar, with_component
 
 #: Rows up to which the wanted lines are broadcast (about 40 bytes each).
 BROADCAST_LINES = 500_000
@@ -40,8 +40,6 @@ NULL_ID = -(1 << 63)
 #: Lines that a task remembers in order not to hash them again.
 SEEN = 200_000
 
-_ODD32 = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
-
 
 def plain(line: str) -> str:
     return " ".join(line.lower().split())
@@ -58,58 +56,108 @@ def short_key(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def run_hashes(points: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of ``k`` code points, combined from runs of half the length."""
+    if k == 1:
+        out = points * np.uint64(0x9E3779B97F4A7C15)
+        return out ^ (out >> np.uint64(29))
+    half, n = run_hashes(points, k // 2), len(points) - k + 1
+    out = half[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + half[k // 2 : k // 2 + n]
+    if k % 2:
+        out = out * np.uint64(0x165667B19E3779F9) + points[k - 1 :]
+    return out ^ (out >> np.uint64(31))
+
+
 def char_tokens(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character runs of all (non-empty) lines, and where each line starts."""
+    """Hashes of the character runs of all (non-empty) lines, and the line of each.
+
+    Each line is followed by ``k`` - 1 marks; a line of fewer than ``k`` characters
+    is one run with marks, any other has the runs inside it.
+    """
+    mark = "\U0010ffff" * (k - 1)
+    points = np.frombuffer((mark.join(lines) + mark).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     lengths = np.array([len(x) for x in lines], np.int64)
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    end = np.repeat(starts + lengths, lengths)
-    here = np.arange(len(points))
-    out = np.zeros(len(points), np.uint64)
-    for i in range(k):
-        at = here + i
-        inside = at < end
-        value = np.where(inside, points[np.minimum(at, len(points) - 1)], np.uint64(0x110000))
-        out = (out ^ (out >> np.uint64(27))) * np.uint64(0x9E3779B97F4A7C15) + value * np.uint64(0xC2B2AE3D27D4EB4F)
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
+    out = run_hashes(points, k) * np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(32)
+    out *= np.uint64(0xA0761D6478BD642F)
     counts = np.maximum(lengths - k + 1, 1)
-    keep = here - np.repeat(starts, lengths) < np.repeat(counts, lengths)
-    return out[keep], np.concatenate(([0], np.cumsum(counts)[:-1]))
+    starts = np.concatenate(([0], np.cumsum(lengths + k - 1)[:-1]))
+    line = np.repeat(np.arange(len(lines)), counts)
+    at = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+    return out[at], line
 
 
 def char_set(line: str, k: int) -> np.ndarray:
     return np.unique(char_tokens([line], k)[0])
 
 
-def band_keys(lines: list[str], k: int, bands: int, band_rows: int) -> np.ndarray:
-    """uint64 [line, band]: hashes of the bands' min-hashes."""
-    out = np.empty((len(lines), bands), np.uint64)
-    seeds = (np.arange(1, bands * band_rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(31)
-    seeds = (seeds.astype(np.uint32) | np.uint32(1)).astype(np.uint32)
-    start = 0
+#: Sets of fewer tokens than the second number are hashed ``bands * band_rows`` times,
+#: sets of at least as many as the first once, in as many bins.  The ranges overlap by
+#: the largest ratio of sizes of linked sets, so linked sets always meet in one of them.
+SMALL, LARGE = 100, 160
+
+
+def band_keys(lines: list[str], k: int, bands: int, band_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, number of the line of each): hashes of the bands' min-hashes."""
+    keys, owners, start = [], [], 0
     while start < len(lines):
         stop, size = start, 0
-        while stop < len(lines) and (size == 0 or size + len(lines[stop]) <= 100_000):
+        while stop < len(lines) and (size == 0 or size + len(lines[stop]) <= 100_000) and stop - start < 1 << 16:
             size += len(lines[stop])
             stop += 1
-        tokens, starts = char_tokens(lines[start:stop], k)
-        low, high = tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.uint32)
-        for band in range(bands):
-            key = np.full(stop - start, band + 1, np.uint64)
-            for row in range(band_rows):
-                mixed = (low ^ seeds[band * band_rows + row]) * _ODD32[row % 5]
-                mixed ^= (mixed >> np.uint32(15)) ^ high
-                mixed *= seeds[(band * band_rows + row + 7) % len(seeds)]
-                least = np.minimum.reduceat(mixed, starts)
-                key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + least
-            key ^= key >> np.uint64(32)
-            out[start:stop, band] = key * np.uint64(0xD6E8FEB86659FD93)
+        tokens, line = char_tokens(lines[start:stop], k)
+        ordered = np.sort(line.astype(np.uint64) << np.uint64(47) | tokens >> np.uint64(17))
+        ordered = ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
+        line = (ordered >> np.uint64(47)).astype(np.int64)
+        counts = np.bincount(line, minlength=stop - start)
+        for signatures, own in ((_many_hashes, counts < LARGE), (_one_hash, counts >= SMALL)):
+            which = np.flatnonzero(own)
+            if len(which):
+                found = signatures(ordered[own[line]], counts[which], bands * band_rows)
+                keys.append(_banded(found, bands).ravel())
+                owners.append(np.repeat(which + start, bands))
         start = stop
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _many_hashes(ordered: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """[line, n] min-hashes by n hash functions."""
+    starts = np.cumsum(counts) - counts
+    tokens = ordered & np.uint64((1 << 47) - 1)
+    out = np.empty((len(counts), n), np.uint64)
+    for i in range(n):
+        odd = np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
+        mixed = (tokens ^ (tokens >> np.uint64(21))) * odd
+        out[:, i] = np.minimum.reduceat((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F), starts)
     return out
 
 
+def _one_hash(ordered: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """[line, n] minima of one hash in n bins; an empty bin takes the next bin's
+    minimum and its distance (densification by rotation)."""
+    line = np.repeat(np.arange(len(counts)), counts)
+    value = ordered & np.uint64((1 << 47) - 1)
+    slot = (value * np.uint64(n)) >> np.uint64(47) if n <= 1 << 16 else value % np.uint64(n)
+    place = line * n + slot.astype(np.int64)  # ascending, as the values of a line are
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    out = np.zeros(len(counts) * n, np.uint64)
+    filled = np.zeros(len(counts) * n, bool)
+    out[place[first]], filled[place[first]] = value[first], True
+    out, filled = out.reshape(-1, n), filled.reshape(-1, n)
+    at = np.where(filled, np.arange(n), 4 * n)
+    ahead = np.minimum.accumulate(np.concatenate((at, at + n), axis=1)[:, ::-1], axis=1)[:, ::-1][:, :n]
+    return np.take_along_axis(out, ahead % n, axis=1) + (ahead - np.arange(n)).astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+
+
+def _banded(signature: np.ndarray, bands: int) -> np.ndarray:
+    """[line, band] keys; a band takes rows that lie far apart."""
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(signature), bands))
+    for row in range(signature.shape[1] // bands):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + signature[:, row * bands : (row + 1) * bands]
+    key = key ^ (key >> np.uint64(32))
+    return key * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _lines(docs: DataFrame, k: int, bands: int, band_rows: int, bucket_bits: int) -> DataFrame:
     """Two kinds of rows: a place (doc_id, line_no, line) for each line that is
     not blank, and for a bucket the band keys and short keys of many lines."""
@@ -126,8 +174,8 @@ def _lines(docs: DataFrame, k: int, bands: int, band_rows: int, bucket_bits: int
             return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         def dealt(fresh: dict[bytes, str]) -> pa.RecordBatch:
-            keys = band_keys(list(fresh.values()), k, bands, band_rows).ravel()
-            owner = np.repeat(np.frombuffer(b"".join(x[:8] for x in fresh), "<u8"), bands)
+            keys, owner = band_keys(list(fresh.values()), k, bands, band_rows)
+            owner = np.frombuffer(b"".join(x[:8] for x in fresh), "<u8")[owner]
             order = np.argsort(keys >> shift, kind="stable")
             keys, owner = keys[order], owner[order]
             bucket = keys >> shift
@@ -167,7 +215,7 @@ def _lines(docs: DataFrame, k: int, bands: int, band_rows: int, bucket_bits: int
             yield dealt(fresh)
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), text_bytes())
-    return rows.mapInArrow(run, "doc_id long, line_no int, line binary, bucket int, keys binary, owners binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, line_no int, line binary, bucket int, keys binary, owners binary")
 
 
 def _shared_keys(dealt: DataFrame) -> DataFrame:
@@ -190,54 +238,55 @@ def _shared_keys(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInPandas(shared, "key long, id long")
 
 
-def _line_sets(docs: DataFrame, places: DataFrame, n_docs: int, k: int) -> DataFrame:
-    """(id, tokens) of the lines that ``places`` (doc_id, wanted ids) name."""
+def _line_texts(docs: DataFrame, places: DataFrame, n_docs: int) -> DataFrame:
+    """(id, tokens) of the lines that ``places`` (doc_id, wanted: line_no and id)
+    names; ``tokens`` is the plain line, of which the set is made where it is used."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            ids, tokens, size = [], [], 0
+            ids, found, size = [], [], 0
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                wanted = set(wanted)
-                for line in text.decode("utf-8", "replace").split("\n"):
-                    line = plain(line)
-                    key = short_key(line_key(line)) if line else None
-                    if key in wanted:
-                        wanted.remove(key)
-                        ids.append(key)
-                        tokens.append(char_set(line, k).astype("<u8").tobytes())
-                        size += len(tokens[-1])
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], ["id", "tokens"])
-                    ids, tokens, size = [], [], 0
+                lines = text.decode("utf-8", "replace").split("\n")
+                for x in wanted:
+                    line = plain(lines[x["line_no"]]) if x["line_no"] < len(lines) else ""
+                    if line and short_key(line_key(line)) == x["id"]:
+                        ids.append(x["id"])
+                        found.append(line.encode())
+                        size += len(found[-1])
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "tokens"])
+                    ids, found, size = [], [], 0
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "tokens"])
 
     places = F.broadcast(places) if n_docs <= BROADCAST_LINES else places
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_bytes().alias("text"))
-    rows = rows.join(places, "doc_id").select("text", "wanted")
-    return rows.mapInArrow(run, "id long, tokens binary").dropDuplicates(["id"])
+    return rows.join(places, "doc_id").select("text", "wanted").mapInArrow(tidy(run), "id long, tokens binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (src, dst) whose sets are similar."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in (2, 3))
-            good = [similar(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), percent) for a, b in zip(x, y, strict=True)]
+            good, last, left = [], None, None
+            for a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                if a != last:
+                    last, left = a, char_set(a.decode(), k)
+                good.append(similar(left, char_set(b.decode(), k), percent))
             keep = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["src", "dst"])
 
-    side = lambda name, tokens: sets.select(F.col("id").alias(name), F.col("tokens").alias(tokens))
-    both = pairs.join(side("src", "x"), "src").join(side("dst", "y"), "dst")
-    return both.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
+    side = lambda name, tokens: texts.select(F.col("id").alias(name), F.col("tokens").alias(tokens))
+    both = pairs.join(side("dst", "y"), "dst").join(side("src", "x"), "src")
+    return both.select("src", "dst", "x", "y").mapInArrow(tidy(run), "src long, dst long")
 
 
-def find_lines(docs: DataFrame, *, k: int = 7, percent: int = 80, bands: int = 16, band_rows: int = 4) -> DataFrame:
+def find_lines(docs: DataFrame, *, k: int = 8, percent: int = 80, bands: int = 16, band_rows: int = 4) -> DataFrame:
     """A row per line that is not blank: doc_id, line_no, kept, and the place
     (keeper_doc_id, keeper_line_no) of the line that stays for its component."""
     spark = docs.sparkSession
@@ -250,14 +299,15 @@ def find_lines(docs: DataFrame, *, k: int = 7, percent: int = 80, bands: int = 1
     short = F.conv(F.hex(F.concat(*[F.substring("line", i, 1) for i in range(8, 0, -1)])), 16, -10).cast("long")
     distinct = materialize(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).withColumn("id", short), "distinct-lines")
     wanted = distinct.join(shared.select("id").distinct(), "id", "left_semi")
-    wanted = materialize(wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("id").alias("wanted")), "wanted-lines")
-    sets = materialize(_line_sets(docs, wanted, wanted.count(), k), "line-sets")
+    wanted = materialize(wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "id")).alias("wanted")), "wanted-lines")
+    texts = materialize(_line_texts(docs, wanted, wanted.count()), "line-texts")
     leaders = materialize(shared.groupBy("key").agg(F.min("id").alias("src"), F.count("*").alias("m")), "band-leaders")
     pairs = shared.join(leaders, "key").where("id != src").select("src", F.col("id").alias("dst")).distinct()
-    links = materialize(_verified(materialize(pairs, "line-pairs"), sets, percent), "line-links")
+    links = materialize(_verified(materialize(pairs, "line-pairs"), texts, k, percent), "line-links")
     groups = components(links)
     larger = shared.join(leaders.where("m > 2").select("key"), "key", "left_semi")
-    rest = cell_links(materialize(with_component(larger, groups), "line-cells"), sets, percent, whole=True)
+    read = lambda line: char_set(line.decode(), k)
+    rest = cell_links(merged_cells(materialize(with_component(larger, groups), "line-cells")), texts, percent, whole=True, read=read)
     if not rest.isEmpty():
         groups = components(links.union(rest))
     repeated = with_component(distinct.select("line", "id", "first", "n"), groups)
@@ -280,7 +330,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     dropped = materialize(dropped, "dropped-lines")
 
     @F.udf("string")
-    def without(text: str | None, numbers: list[int] | None) -> str | None:
+    def without(text, numbers):
         if text is None or numbers is None:
             return text
         numbers = set(numbers)
@@ -295,7 +345,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     return joined.select(*[sizes[c].alias(c) if c in sizes else F.col(c) if c == "text" else docs[c] for c in docs.columns])
 
 
-def brute_force(texts: dict[int, str | None], k: int = 7, percent: int = 80) -> dict[tuple[int, int], tuple[int, int]]:
+def brute_force(texts: dict[int, str | None], k: int = 8, percent: int = 80) -> dict[tuple[int, int], tuple[int, int]]:
     """{(doc_id, line number): place of the kept line} by all pairs (for tests)."""
     places = [((d, i), plain(x)) for d, t in texts.items() if t is not None for i, x in enumerate(t.split("\n")) if plain(x)]
     sets = [{x[j : j + k] for j in range(max(1, len(x) - k + 1))} for _, x in places]
