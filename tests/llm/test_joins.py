@@ -142,6 +142,15 @@ def test_line_dedup(spark, odd_docs, no_docs):
     assert odd.columns == odd_docs.columns and 25 not in {r["doc_id"] for r in odd.select("doc_id").collect()}
 
 
+def test_lines_of_72_characters_with_one_edit_link(spark):
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(72))
+    other = line[:36] + "#" + line[37:]
+    docs = spark.createDataFrame([(1, line), (2, other)], "doc_id long, text string")
+    assert [r["keeper_doc_id"] for r in line_dedup.find_lines(docs).collect()] == [1, 1]
+    assert set(line_dedup.brute_force({1: line, 2: other}).values()) == {(1, 0)}
+
+
 @pytest.mark.parametrize("size", [20, 80, 110, 150, 170, 400])
 def test_band_keys_meet_at_the_threshold(size):
     rng, hit, total = random.Random(size), 0, 0
