@@ -5,6 +5,8 @@ names (capitalised words inside a sentence) become typed placeholders, so that a
 question keeps its template when its parameters are changed.  Windows of
 ``window`` template words of the benchmark items form a hash table; an item with
 fewer words is one window.  The windows of all documents are looked up in it.
+The table also has the windows in which names are plain words without case, as a
+text in capitals, in title case or in small letters shows no names as such.
 
 Hits of an item on one diagonal (place in the document minus place in the item)
 are an alignment.  Its slots are checked: the same value in the item must stand
@@ -65,12 +67,12 @@ def read_word(chunk: bytes) -> Word:
     text = chunk.decode("utf-8", "replace")
     body = text[:-1] if text[-1:] in (".", ",") else text
     if body.isalpha():  # by far the most
-        lower = body.lower()
+        lower = body.casefold()
         kind = UNIT if lower in UNITS else LITERAL
         return Word(xxh3_64_intdigest(lower.encode()) | 1, kind, kind == LITERAL and body[0].isupper(), text[-1] == ".")
     ends = text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…", ";")
     plain = _EDGE.sub("", text)
-    lower = plain.lower()
+    lower = plain.casefold()
     if not any(map(str.isalnum, plain)) and lower not in UNITS:
         return Word(0, LITERAL, False, ends)
     kind = NUMBER if _NUMBER.fullmatch(lower) else UNIT if lower in UNITS else LITERAL
@@ -127,6 +129,11 @@ class TemplateReader:
         return np.where(kinds == LITERAL, values, kinds.astype(np.uint64)), values, kinds
 
 
+def folded_words(values: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Words without case of which only numbers and units are typed."""
+    return np.where((kinds == NUMBER) | (kinds == UNIT), kinds.astype(np.uint64), values)
+
+
 class BenchmarkIndex:
     """The windows of a block of items."""
 
@@ -136,41 +143,50 @@ class BenchmarkIndex:
         self.items = [(item_id, *reader.read((text or "").encode())) for item_id, text in items]
         self.items = [x for x in self.items if len(x[1]) >= least_words]
         self.tables = {}
-        by_size: dict[int, list] = {}
-        for at, (_, template, _, kinds) in enumerate(self.items):
+        by_size: dict[int, set] = {}
+        for at, (_, template, values, kinds) in enumerate(self.items):
             size = min(window, len(template))
-            hashes = window_hashes(template, size)
-            for place in np.flatnonzero(self._literal(kinds, size) >= min(least_literal, size)):
-                by_size.setdefault(size, []).append((int(hashes[place]), at, int(place)))
-        for size, rows in by_size.items():
-            rows.sort()
+            enough = min(least_literal, size)
+            typed, folded = self._count(kinds == LITERAL, size) >= enough, self._count((kinds == LITERAL) | (kinds == NAME), size) >= enough
+            for words, own in ((template, typed), (folded_words(values, kinds), folded)):
+                hashes = window_hashes(words, size)
+                by_size.setdefault(size, set()).update((int(hashes[place]), at, int(place)) for place in np.flatnonzero(own))
+        for size, found in by_size.items():
+            rows = sorted(found)
             hashes = np.array([h for h, _, _ in rows], np.uint64)
             maybe = np.zeros(1 << 20, bool)
             maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[size] = (maybe, hashes, np.array([(a, p) for _, a, p in rows], np.int64))
+            self.tables[size] = (maybe, hashes, np.array([(a, p) for _, a, p in rows], np.int64).reshape(-1, 2))
 
     @staticmethod
-    def _literal(kinds: np.ndarray, size: int) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
+    def _count(marked: np.ndarray, size: int) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(marked)))
         return total[size:] - total[:-size]
 
-    def hits(self, template: np.ndarray, kinds: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """{(item, diagonal): ascending places in the item} of equal windows."""
-        out: dict[tuple[int, int], list[int]] = {}
+    def hits(self, template: np.ndarray, values: np.ndarray, kinds: np.ndarray) -> dict[tuple[int, int], set[int]]:
+        """{(item, diagonal): places in the item} of equal windows."""
+        out: dict[tuple[int, int], set[int]] = {}
+        n = len(template)
+        readings = np.concatenate((template, folded_words(values, kinds)))
         for size, (maybe, hashes, rows) in self.tables.items():
-            found = window_hashes(template, size)
-            places = np.flatnonzero(maybe[(found >> np.uint64(44)).astype(np.int64)]) if len(found) else ()
-            for at in places:
-                a, b = np.searchsorted(hashes, found[at], "left"), np.searchsorted(hashes, found[at], "right")
+            if n < size or not len(hashes):
+                continue
+            found = window_hashes(readings, size)
+            places = np.flatnonzero(maybe[(found >> np.uint64(44)).astype(np.int64)])
+            places = places[places % n <= n - size]  # no windows across two readings
+            first = np.searchsorted(hashes, found[places], "left")
+            real = hashes[np.minimum(first, len(hashes) - 1)] == found[places]
+            for at, a in zip(places[real].tolist(), first[real].tolist(), strict=True):
+                b = np.searchsorted(hashes, found[at], "right")
                 for item, place in rows[a:b].tolist():
-                    out.setdefault((item, int(at) - place), []).append(place)
+                    out.setdefault((item, at % n - place), set()).add(place)
         return out
 
     def matches(self, template: np.ndarray, values: np.ndarray, kinds: np.ndarray, least_cover: float) -> list[tuple]:
         """(item_id, first word, words covered, words of the item, slots, changed slots)
         of the best alignment of each item that is covered enough."""
         best: dict[int, tuple] = {}
-        for (at, diagonal), places in self.hits(template, kinds).items():
+        for (at, diagonal), places in self.hits(template, values, kinds).items():
             item_id, item_template, item_values, item_kinds = self.items[at]
             size, covered = min(self.window, len(item_template)), np.zeros(len(item_template), bool)
             there: dict[tuple[int, int], int] = {}

@@ -236,3 +236,15 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.find(odd_docs, benchmark.limit(0)).count() == 0 and decontaminate.find(no_docs, benchmark).count() == 0
     several = decontaminate.find(docs, benchmark, block_items=2)
     assert {r["doc_id"] for r in several.collect()} == set(out)
+
+
+def matches(item, text, least_cover=0.5):
+    index = decontaminate.BenchmarkIndex([(1, item)], 8, 4)
+    return index.matches(*decontaminate.TemplateReader().read(text.encode()), least_cover)
+
+
+def test_decontamination_finds_copies_in_any_case():
+    item = "The guide Anna from Dora met Bob near Lake Orta and asked Carl how far Rome was from Paris."
+    for text in (item.upper(), item.lower(), item.title(), "before " + ITEM.upper() + " after"):
+        assert matches(ITEM if "APPLES" in text else item, text, 0.9)
+    assert matches(ITEM, ITEM.upper().replace("12", "15"), 0.9)
