@@ -11,7 +11,9 @@ Which stretches are aligned follows from the threshold: a stretch that covers
 ``least_cover`` of a template of n words must hold a word of any floor((1 -
 least_cover) * n) + 1 places of the template, so only stretches around the
 longest words of that many places are looked at.  Stretches reach half the
-template's length beyond it, which allows for as many inserted words.
+template's length beyond it, which allows for as many inserted words.  Where
+stretches run into one another and too little of the whole is matched, a window
+around each of these words is aligned on its own, so copies may follow each other.
 
 One narrow pass over the rows: no shuffle, no skew, memory bounded by a batch.
 Null and empty texts match nothing; repeated rows give repeated results; words of
@@ -130,11 +132,13 @@ class LicenseScanner:
             return []
         words = words_of(text)
         stretches: dict[int, list[tuple[int, int]]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for p, word in enumerate(words):
             for t, place in self.keys.get(word, ()):
                 n = len(self.templates[t][1])
                 slack = n // 2 + 4
                 own = stretches.setdefault(t, [])
+                hits.setdefault(t, []).append((p, place))
                 low, high = max(0, p - place - slack), min(len(words), p - place + n + slack)
                 if own and low <= own[-1][1]:
                     own[-1] = (min(own[-1][0], low), max(own[-1][1], high))
@@ -150,12 +154,36 @@ class LicenseScanner:
                     first, last = low + pairs[0][1], low + pairs[-1][1]
                     out.append((name, len(pairs) / len(template), len(pairs), len(template), first, last))
                     own += [x for x in ((low, first), (last + 1, high)) if x[1] - x[0] >= self.least_cover * len(template)]
-                elif high - low > 3 * len(template) + 12:
-                    # words that repeat hide each other in a long stretch: look at halves that overlap by a template with its slack
-                    middle, reach = (low + high) // 2, len(template) + len(template) // 4 + 2
-                    own += [(low, min(high, middle + reach)), (max(low, middle - reach), high)] if high - low > 4 * reach else []
+                    continue
+                # copies that follow each other hide each other's words: align around each key word on its own
+                while low < high:
+                    near = hits[t][bisect_left(hits[t], (low, -1)) : bisect_left(hits[t], (high, -1))]
+                    pairs = next(filter(None, (self._around(template, words, hit, low, high) for hit in near)), None)
+                    if pairs is None:
+                        break
+                    out.append((name, len(pairs) / len(template), len(pairs), len(template), pairs[0][1], pairs[-1][1]))
+                    low = pairs[-1][1] + 1
         return sorted(set(out), key=lambda x: (x[4], x[5], x[0]))
 
+    def _around(self, template: list[str], words: list[str], hit: tuple[int, int], low: int, high: int) -> list[tuple[int, int]]:
+        """Matches around a key word (its place in the text, in the template), in a window
+        that grows from the template's size until it is covered and grows no better."""
+        (p, place), n, best, slack = hit, len(template), [], 0
+        have, reach = Counter(template), 2 * n + 20
+        if sum((Counter(words[max(low, p - place - reach) : min(high, p - place + n + reach)]) & have).values()) < self.least_cover * n:
+            return []
+        while True:
+            a, b = max(low, p - place - slack), min(high, p - place + n + slack)
+            pairs = []
+            if sum((Counter(words[a:b]) & have).values()) >= self.least_cover * n:
+                left, right = patience(template[:place], words[a:p]), patience(template[place + 1 :], words[p + 1 : b])
+                pairs = [*((i, a + j) for i, j in left), (place, p), *((place + 1 + i, p + 1 + j) for i, j in right)]
+                pairs = self._dense(pairs, n)
+            better = len(pairs) >= self.least_cover * n and len(pairs) > len(best)
+            if (best and not better) or slack > n + 8:
+                return pairs if better else best
+            best, slack = pairs if better else best, 2 * slack + 1
+
     @staticmethod
     def _dense(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
         """The largest run of matches that lies within twice the template's length."""

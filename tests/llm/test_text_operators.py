@@ -248,3 +248,17 @@ def test_decontamination_finds_copies_in_any_case():
     for text in (item.upper(), item.lower(), item.title(), "before " + ITEM.upper() + " after"):
         assert matches(ITEM if "APPLES" in text else item, text, 0.9)
     assert matches(ITEM, ITEM.upper().replace("12", "15"), 0.9)
+
+
+def test_licenses_that_follow_each_other():
+    scanner = license_scan.LicenseScanner(license_scan.TEMPLATES, 0.8)
+    for name in ("MIT", "MIT-text", "Apache-2.0-notice", "GPL-3.0"):
+        copy = license_scan.TEMPLATES[name].split()
+        for copies in (2, 3, 4, 7):
+            for between in ([], ["word"], ["some", "more", "words"]):
+                words, places = "one two three four five six".split(), []
+                for _ in range(copies):
+                    places.append((len(words), len(words) + len(copy) - 1))
+                    words += copy + between
+                found = scanner.scan(" ".join([*words, *"six seven eight nine ten eleven".split()]))
+                assert [x[4:6] for x in found if x[0] == name] == places, (name, copies, between)
