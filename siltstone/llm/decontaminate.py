@@ -14,8 +14,9 @@ for the same value in the document throughout, and the other way round; windows
 with a slot that disagrees with the earlier ones do not count.  A document is
 contaminated by an item if the counted windows of an alignment cover at least
 ``least_cover`` of the item's words and ``window`` words (or the whole item).
-Windows with fewer literal words than ``least_literal`` do not hit, since a run of
-placeholders says nothing; nor do items of fewer than five words, which are left out.
+Windows with fewer literal words than ``least_literal`` hit only where every value
+is equal, since a run of placeholders says nothing.  Items of fewer than five words
+are left out: they occur in texts that have nothing to do with them.
 
 The benchmark is used in blocks of ``block_items`` items, each broadcast with a
 bound of ``block_words`` words: the documents are read once for each block.
@@ -148,7 +149,7 @@ class BenchmarkIndex:
             size = min(window, len(template))
             enough = min(least_literal, size)
             typed, folded = self._count(kinds == LITERAL, size) >= enough, self._count((kinds == LITERAL) | (kinds == NAME), size) >= enough
-            for words, own in ((template, typed), (folded_words(values, kinds), folded)):
+            for words, own in ((template, typed), (folded_words(values, kinds), folded), (values, ~folded)):
                 hashes = window_hashes(words, size)
                 by_size.setdefault(size, set()).update((int(hashes[place]), at, int(place)) for place in np.flatnonzero(own))
         for size, found in by_size.items():
@@ -167,7 +168,7 @@ class BenchmarkIndex:
         """{(item, diagonal): places in the item} of equal windows."""
         out: dict[tuple[int, int], set[int]] = {}
         n = len(template)
-        readings = np.concatenate((template, folded_words(values, kinds)))
+        readings = np.concatenate((template, folded_words(values, kinds), values))
         for size, (maybe, hashes, rows) in self.tables.items():
             if n < size or not len(hashes):
                 continue

@@ -262,3 +262,10 @@ def test_licenses_that_follow_each_other():
                     words += copy + between
                 found = scanner.scan(" ".join([*words, *"six seven eight nine ten eleven".split()]))
                 assert [x[4:6] for x in found if x[0] == name] == places, (name, copies, between)
+
+
+def test_decontamination_finds_items_of_numbers_and_units():
+    item = "3 kg 17 m 4 s 12 kg 99 m 5 s 8 kg 41 m 7 s sum 250"
+    assert matches(item, f"before {item} after", 1.0)[0][4] == matches(item, item)[0][4] > 0
+    assert matches("12 4 9 31 5 88", "x 12 4 9 31 5 88 y", 1.0)
+    assert not matches(item, item.replace("17", "18").replace("99", "98").replace("41", "40"))
