@@ -8,8 +8,11 @@ fewer words is one window.  The windows of all documents are looked up in it.
 The table also has the windows in which names are plain words without case, as a
 text in capitals, in title case or in small letters shows no names as such.
 
+A run of names is one placeholder, and so is a number with its unit.
+
 Hits of an item on one diagonal (place in the document minus place in the item)
-are an alignment.  Its slots are checked: the same value in the item must stand
+or in order on neighbouring ones, as where words were put in or left out, are an
+alignment.  Its slots are checked: the same value in the item must stand
 for the same value in the document throughout, and the other way round; windows
 with a slot that disagrees with the earlier ones do not count.  A document is
 contaminated by an item if the counted windows of an alignment cover at least
@@ -81,7 +84,9 @@ def read_word(chunk: bytes) -> Word:
 
 
 class TemplateReader:
-    """Texts as template words: (template hashes, values, kinds).
+    """Texts as (template, values, kinds, bounds).  A template slot is a literal word, a
+    number with its unit, a unit, or a run of names; slot i has the words from bounds[i]
+    to bounds[i + 1], of which values and kinds tell.
 
     Chunks are remembered, up to ``limit``, as numbers of rows in tables."""
 
@@ -105,7 +110,7 @@ class TemplateReader:
         self.size += 1
         return self.size - 1
 
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         chunks = text.split()
         if self.size > self.limit:
             self._clear()
@@ -127,7 +132,11 @@ class TemplateReader:
         values, flags, starts = values[keep], flags[keep], starts[keep]
         kinds = flags & 3
         kinds = np.where((flags & 4 > 0) & ~starts, NAME, kinds)
-        return np.where(kinds == LITERAL, values, kinds.astype(np.uint64)), values, kinds
+        before, after = kinds[:-1], kinds[1:]
+        joined = ((before == NAME) & (after == NAME)) | ((before == NUMBER) & (after == UNIT))
+        bounds = np.concatenate(([0] if len(kinds) else [], np.flatnonzero(~joined) + 1, [len(kinds)])).astype(np.int64)
+        own = kinds[bounds[:-1]]
+        return np.where(own == LITERAL, values[bounds[:-1]], own.astype(np.uint64)), values, kinds, bounds
 
 
 def folded_words(values: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -135,6 +144,20 @@ def folded_words(values: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.where((kinds == NUMBER) | (kinds == UNIT), kinds.astype(np.uint64), values)
 
 
+class Cover(NamedTuple):
+    """Words of an item that an alignment covers, and what it ends with."""
+
+    mask: int  # a bit for each word of the item
+    there: dict
+    back: dict
+    first: int  # place in the document
+    item_end: int
+    doc_end: int
+
+
+NO_COVER = Cover(0, {}, {}, -1, 0, 0)
+
+
 class BenchmarkIndex:
     """The windows of a block of items."""
 
@@ -142,70 +165,127 @@ class BenchmarkIndex:
         reader = TemplateReader()
         self.window, self.least_literal = window, least_literal
         self.items = [(item_id, *reader.read((text or "").encode())) for item_id, text in items]
-        self.items = [x for x in self.items if len(x[1]) >= least_words]
+        self.items = [x for x in self.items if len(x[2]) >= least_words]
         self.tables = {}
         by_size: dict[int, set] = {}
-        for at, (_, template, values, kinds) in enumerate(self.items):
-            size = min(window, len(template))
-            enough = min(least_literal, size)
-            typed, folded = self._count(kinds == LITERAL, size) >= enough, self._count((kinds == LITERAL) | (kinds == NAME), size) >= enough
-            for words, own in ((template, typed), (folded_words(values, kinds), folded), (values, ~folded)):
-                hashes = window_hashes(words, size)
-                by_size.setdefault(size, set()).update((int(hashes[place]), at, int(place)) for place in np.flatnonzero(own))
+        for at, (_, template, values, kinds, bounds) in enumerate(self.items):
+            size, slots = min(window, len(values)), min(window, len(template))
+            typed = self._count(kinds[bounds[:-1]] == LITERAL, slots) >= min(least_literal, slots)
+            folded = self._count((kinds == LITERAL) | (kinds == NAME), size) >= min(least_literal, size)
+            for words, own, n, by_slot in ((template, typed, slots, 1), (folded_words(values, kinds), folded, size, 0), (values, ~folded, size, 0)):
+                hashes = window_hashes(words, n)
+                by_size.setdefault(n, set()).update((int(hashes[place]), at, int(place), by_slot) for place in np.flatnonzero(own))
         for size, found in by_size.items():
             rows = sorted(found)
-            hashes = np.array([h for h, _, _ in rows], np.uint64)
+            hashes = np.array([h for h, *_ in rows], np.uint64)
             maybe = np.zeros(1 << 20, bool)
             maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[size] = (maybe, hashes, np.array([(a, p) for _, a, p in rows], np.int64).reshape(-1, 2))
+            self.tables[size] = (maybe, hashes, np.array([x[1:] for x in rows], np.int64).reshape(-1, 3))
 
     @staticmethod
     def _count(marked: np.ndarray, size: int) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(marked)))
         return total[size:] - total[:-size]
 
-    def hits(self, template: np.ndarray, values: np.ndarray, kinds: np.ndarray) -> dict[tuple[int, int], set[int]]:
-        """{(item, diagonal): places in the item} of equal windows."""
-        out: dict[tuple[int, int], set[int]] = {}
-        n = len(template)
+    def hits(self, template: np.ndarray, values: np.ndarray, kinds: np.ndarray) -> dict[int, dict[tuple, set[int]]]:
+        """{item: {(by slot, diagonal, size): places in the item}} of equal windows."""
+        out: dict[int, dict[tuple, set[int]]] = {}
         readings = np.concatenate((template, folded_words(values, kinds), values))
+        starts = (0, len(template), len(template) + len(values), len(readings))
         for size, (maybe, hashes, rows) in self.tables.items():
-            if n < size or not len(hashes):
+            if len(values) < size or not len(hashes):
                 continue
             found = window_hashes(readings, size)
             places = np.flatnonzero(maybe[(found >> np.uint64(44)).astype(np.int64)])
-            places = places[places % n <= n - size]  # no windows across two readings
             first = np.searchsorted(hashes, found[places], "left")
             real = hashes[np.minimum(first, len(hashes) - 1)] == found[places]
             for at, a in zip(places[real].tolist(), first[real].tolist(), strict=True):
+                reading = (at >= starts[1]) + (at >= starts[2])
+                if at + size > starts[reading + 1]:
+                    continue  # a window across two readings
                 b = np.searchsorted(hashes, found[at], "right")
-                for item, place in rows[a:b].tolist():
-                    out.setdefault((item, at % n - place), set()).add(place)
+                for item, place, by_slot in rows[a:b].tolist():
+                    if by_slot == (reading == 0):
+                        out.setdefault(item, {}).setdefault((by_slot, at - starts[reading] - place, size), set()).add(place)
         return out
 
-    def matches(self, template: np.ndarray, values: np.ndarray, kinds: np.ndarray, least_cover: float) -> list[tuple]:
+    def matches(self, template: np.ndarray, values: np.ndarray, kinds: np.ndarray, bounds: np.ndarray, least_cover: float) -> list[tuple]:
         """(item_id, first word, words covered, words of the item, slots, changed slots)
         of the best alignment of each item that is covered enough."""
-        best: dict[int, tuple] = {}
-        for (at, diagonal), places in self.hits(template, values, kinds).items():
-            item_id, item_template, item_values, item_kinds = self.items[at]
-            size, covered = min(self.window, len(item_template)), np.zeros(len(item_template), bool)
-            there: dict[tuple[int, int], int] = {}
-            back: dict[tuple[int, int], int] = {}
-            for place in sorted(places):
-                slots = [p for p in range(place, place + size) if item_kinds[p] != LITERAL]
-                pairs = [(int(item_kinds[p]), int(item_values[p]), int(values[p + diagonal])) for p in slots]
-                new_there, new_back = dict(there), dict(back)
-                if all(new_there.setdefault((k, x), y) == y and new_back.setdefault((k, y), x) == x for k, x, y in pairs):
-                    there, back = new_there, new_back
-                    covered[place : place + size] = True
-            n = int(covered.sum())
-            if n >= size and n >= least_cover * len(item_template):
-                changed = sum(x != y for (_, x), y in there.items())
-                row = (item_id, int(np.flatnonzero(covered)[0]) + diagonal, n, len(item_template), len(there), changed)
-                if at not in best or n > best[at][2]:
-                    best[at] = row
-        return list(best.values())
+        out = []
+        for at, diagonals in self.hits(template, values, kinds).items():
+            n = len(self.items[at][2])
+            cover = self._best(self._segments(at, diagonals, values, kinds, bounds), n)
+            covered = cover.mask.bit_count()
+            if covered >= min(self.window, n) and covered >= least_cover * n:
+                changed = sum(x != y for (_, x), y in cover.there.items())
+                out.append((self.items[at][0], cover.first, covered, n, len(cover.there), changed))
+        return out
+
+    def _segments(self, at: int, diagonals: dict, values: np.ndarray, kinds: np.ndarray, bounds: np.ndarray) -> list[tuple]:
+        """(place in the document, in the item, diagonal, mask, windows) of the unbroken
+        parts of diagonals; a window is a list of (item span, document span, slot pairs)."""
+        _, _, item_values, item_kinds, item_bounds = self.items[at]
+        out = []
+        for (by_slot, diagonal, size), places in diagonals.items():
+            units: dict[int, tuple] = {}
+
+            def unit(q: int) -> tuple:
+                if q not in units:
+                    spans = (item_bounds[q : q + 2], bounds[q + diagonal : q + diagonal + 2]) if by_slot else ((q, q + 1), (q + diagonal, q + diagonal + 1))
+                    (i0, i1), (d0, d1) = ([int(x) for x in span] for span in spans)
+                    kind, pairs = int(item_kinds[i0]), []
+                    if kind != LITERAL and i1 - i0 == d1 - d0:
+                        pairs = [(int(item_kinds[i0 + j]), int(item_values[i0 + j]), int(values[d0 + j])) for j in range(i1 - i0)]
+                    elif kind == NUMBER:
+                        pairs = [(kind, int(item_values[i0]), int(values[d0]))]
+                    elif kind != LITERAL:
+                        pairs = [(kind, tuple(item_values[i0:i1].tolist()), tuple(values[d0:d1].tolist()))]
+                    units[q] = (i0, i1, d0, d1, pairs)
+                return units[q]
+
+            segment: list[list[tuple]] = []
+            ordered = sorted(places)
+            for place, following in zip(ordered, [*ordered[1:], None], strict=True):
+                segment.append([unit(q) for q in range(place, place + size)])
+                if following is None or following > place + size:
+                    start, end = segment[0][0], segment[-1][-1]
+                    out.append((start[2], start[0], (by_slot, diagonal), ((1 << end[1] - start[0]) - 1) << start[0], segment))
+                    segment = []
+        return sorted(out, key=lambda x: x[:3])
+
+    def _best(self, segments: list[tuple], n: int) -> Cover:
+        """The alignment that covers most words: segments in order in both texts, on one
+        diagonal or on neighbouring ones (within two windows), with one check of all slots."""
+        done: list[tuple] = []
+        best = NO_COVER
+        for doc_at, item_at, diagonal, mask, windows in segments:
+            own = self._extended(NO_COVER, windows)
+            for other_doc, other_item, other_diagonal, cover in done:
+                if own.mask.bit_count() == n:
+                    break
+                if other_doc >= doc_at or other_item >= item_at or (cover.mask | mask).bit_count() <= own.mask.bit_count():
+                    continue
+                if diagonal == other_diagonal or abs(doc_at - cover.doc_end - item_at + cover.item_end) <= 2 * self.window:
+                    own = max(own, self._extended(cover, windows), key=lambda x: x.mask.bit_count())
+            done.append((doc_at, item_at, diagonal, own))
+            best = max(best, own, key=lambda x: x.mask.bit_count())
+        return best
+
+    @staticmethod
+    def _extended(cover: Cover, windows: list[list[tuple]]) -> Cover:
+        mask, there, back, first, item_end, doc_end = cover
+        for window in windows:
+            units = [u for u in window if u[0] >= cover.item_end and u[2] >= cover.doc_end]
+            if not units:
+                continue
+            new_there, new_back = dict(there), dict(back)
+            if all(new_there.setdefault((k, x), y) == y and new_back.setdefault((k, y), x) == x for u in units for k, x, y in u[4]):
+                there, back = new_there, new_back
+                for i0, i1, *_ in units:
+                    mask |= ((1 << i1 - i0) - 1) << i0
+                first, item_end, doc_end = first if first >= 0 else units[0][2], units[-1][1], units[-1][3]
+        return Cover(mask, there, back, first, item_end, doc_end)
 
 
 MATCHES = "item_id long, first_word int, covered int, item_words int, slots int, changed_slots int"

@@ -269,3 +269,15 @@ def test_decontamination_finds_items_of_numbers_and_units():
     assert matches(item, f"before {item} after", 1.0)[0][4] == matches(item, item)[0][4] > 0
     assert matches("12 4 9 31 5 88", "x 12 4 9 31 5 88 y", 1.0)
     assert not matches(item, item.replace("17", "18").replace("99", "98").replace("41", "40"))
+
+
+def test_decontamination_adds_up_neighbouring_diagonals():
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    item = " ".join(words)
+    longer = " ".join(words[:13] + ["put"] + words[13:27] + ["in", "here"] + words[27:])
+    assert matches(item, "before " + longer + " after")[0][1:4] == (1, 40, 40)
+    named = " ".join(words[:13] + ["Anna"] + words[13:27] + ["Bob"] + words[27:])
+    assert matches(named, named.replace("Anna", "Mary Jane").replace("Bob", "John van Dyke".title()), 0.9)
+    assert matches(named, named.replace("Anna", "3 kg").replace("Bob", "12"))
+    assert not matches(item, " ".join(words[27:] + ["x"] + words[13:27] + ["x"] + words[:13]))
+    assert not matches(item, " ".join(words[:13] + ["x"] * 60 + words[13:19]))
