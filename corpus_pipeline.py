@@ -34,12 +34,24 @@ def near_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows without a doc_id stay; of rows that are equal in doc_id and text one does.
     """
-    found = materialize(ngram_join.join(docs), "near-duplicates")
-    dropped = found.where("component_id != doc_id").select("doc_id")
-    left = docs.join(materialize(dropped, "near-dropped"), "doc_id", "left_anti").select(*docs.columns)
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.where("doc_id is null").union(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
-    return left
+    keyed = docs.withColumn("__key", F.col("doc_id").cast("long"))
+    known = docs.where("doc_id is not null")
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        keyed = _with_keys(docs, known)
+    found = materialize(ngram_join.join(keyed.select(F.col("__key").alias("doc_id"), "text")), "near-duplicates")
+    dropped = found.where("component_id != doc_id").select(F.col("doc_id").alias("__key"))
+    return keyed.join(materialize(dropped, "near-dropped"), "__key", "left_anti").select(*docs.columns)
+
+
+def _with_keys(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (once each, if they have a doc_id) with a ``__key`` of their own: the doc_id
+    for one text of each, and numbers above all doc_ids for its other texts."""
+    first = known.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("__first"))
+    rows = known.dropDuplicates(["doc_id", "text"]).join(first, "doc_id")
+    top = known.agg(F.max("doc_id").cast("long").alias("m")).first()["m"]
+    key = F.when(F.xxhash64("text") == F.col("__first"), F.col("doc_id").cast("long")).otherwise(F.lit(top + 1) + F.monotonically_increasing_id())
+    rows = rows.withColumn("__key", key).select(*docs.columns, "__key")
+    return materialize(rows.union(docs.where("doc_id is null").withColumn("__key", F.lit(None).cast("long"))), "keyed-rows")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

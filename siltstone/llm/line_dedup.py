@@ -18,7 +18,8 @@ Equal lines are grouped by a 128-bit digest with partial aggregation, so a line
 that is in a third of all documents costs a task no more than its own rows.
 
 Blank lines are never duplicates.  A null text has no lines and stays null.  Rows
-that repeat a doc_id count as one document (their lines have equal places).
+that repeat a doc_id count as one document (their lines have equal places), and so
+do rows without one; :func:`dedup` takes a line only from rows that have it there.
 Documents of which no line stays are dropped.  An empty table gives no rows.
 """
 
@@ -289,6 +290,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 def find_lines(docs: DataFrame, *, k: int = 7, percent: int = 80, bands: int = 16, band_rows: int = 4) -> DataFrame:
     """A row per line that is not blank: doc_id, line_no, kept, and the place
     (keeper_doc_id, keeper_line_no) of the line that stays for its component."""
+    return _found(docs, k, percent, bands, band_rows).drop("line")
+
+
+def _found(docs: DataFrame, k: int = 7, percent: int = 80, bands: int = 16, band_rows: int = 4) -> DataFrame:
+    """The rows of :func:`find_lines` with the digest of each line."""
     spark = docs.sparkSession
     ship(spark)
     bits = max(6, int(np.ceil(np.log2(max(1, docs.count() * 10 * bands / 2_000_000)))))
@@ -317,7 +323,7 @@ def find_lines(docs: DataFrame, *, k: int = 7, percent: int = 80, bands: int = 1
     known = materialize(repeated.join(keeper, "comp").select("line", "keeper"), "line-keepers")
     out = lines.join(known, "line", "left").withColumn("keeper", F.coalesce("keeper", place))
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    out = out.select("doc_id", "line_no", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"))
+    out = out.select("doc_id", "line_no", "line", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"))
     kept = (F.col("doc_id") == F.col("keeper_doc_id")) & (F.col("line_no") == F.col("keeper_line_no"))
     return out.withColumn("kept", kept).withColumn("doc_id", shown("doc_id")).withColumn("keeper_doc_id", shown("keeper_doc_id"))
 
@@ -325,16 +331,21 @@ def find_lines(docs: DataFrame, *, k: int = 7, percent: int = 80, bands: int = 1
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """The documents without the lines that others stand for; columns as they were
     (``n_chars``, where there is one, is counted anew)."""
-    dropped = find_lines(docs, **options).where("not kept")
-    dropped = dropped.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__dropped_of")).agg(F.collect_list("line_no").alias("__dropped_lines"))
+    dropped = _found(docs, **options).where("not kept").select("doc_id", "line_no", F.substring("line", 1, 8).alias("line"))
+    dropped = dropped.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__dropped_of")).agg(F.collect_set(F.struct("line_no", "line")).alias("__dropped_lines"))
     dropped = materialize(dropped, "dropped-lines")
 
     @F.udf("string")
-    def without(text, numbers):
-        if text is None or numbers is None:
+    def without(text, dropped):
+        if text is None or dropped is None:
+            return text
+        # rows that share a doc_id (or have none) have other lines at these places
+        numbers = {x["line_no"] for x in dropped}
+        dropped = {(x["line_no"], bytes(x["line"])) for x in dropped}
+        lines = text.split("\n")
+        left = [x for i, x in enumerate(lines) if i not in numbers or (i, line_key(plain(x))[:8]) not in dropped]
+        if len(left) == len(lines):
             return text
-        numbers = set(numbers)
-        left = [x for i, x in enumerate(text.split("\n")) if i not in numbers]
         return "\n".join(left) if any(x.strip() for x in left) else None
 
     joined = docs.join(dropped, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == dropped["__dropped_of"], "left")

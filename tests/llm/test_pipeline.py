@@ -40,3 +40,19 @@ def test_entry_works_without_the_subpackage():
     code = "import sys; sys.modules['siltstone.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'scan_full' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    import corpus_pipeline
+
+    common, clean, other = "a line that two documents have in common", "unique words about a river in the south", "something else on mountains and their snow"
+    texts = [(None, f"first row begins so\n{clean}"), (None, f"second row is different\n{common}"), (7, f"{common}\nnothing here is repeated"), (7, f"{other}\n{common}")]
+    docs = spark.createDataFrame([(1 - (1 << 40), common), *texts], "doc_id long, text string").coalesce(1)
+    left = [r["text"] for r in corpus_pipeline.line_deduped(spark, docs, "").collect()]
+    assert sum(clean in x for x in left) == 1 and sum(other in x for x in left) == 1
+
+    long = " ".join(f"word{i}" for i in range(60))
+    apart = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, long), (2, long + " end"), (2, apart), (3, apart + " end"), (3, apart + " end")]
+    found = corpus_pipeline.near_deduped(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r["text"].split()[0] for r in found) == ["other0", "word0"]
