@@ -9,8 +9,10 @@ trigram is matched against every text.  Trigrams can only rule texts out that
 cannot match, so the result equals that of a full scan.
 
 Rows are handled one by one: no shuffle, no skew, memory bounded by a block.
-Null text counts as empty; repeated rows give repeated results; other columns
-are ignored; an empty table gives no rows.
+Null text counts as empty; repeated rows give repeated results; other columns, also
+of clashing names, are ignored; an empty table gives no rows.  Spans that start at
+one place are listed in the order of the rules.  The rules take time in proportion to
+the text, however long it is.
 """
 
 from __future__ import annotations
@@ -49,7 +51,8 @@ BASE = (
 #: Further kinds with well-known public prefixes.
 EXTRA = (
     Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # starts where no token goes on, and gives no character back: one pass over any text
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("vcs_token", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),
@@ -138,7 +141,7 @@ def _item(op, value) -> tuple[set | None, object]:
                 out = {a + b for a in out for b in strings}
             return out, True
         return None, True if least == 0 else _closed(strings, query)
-    if op is C.AT:
+    if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
         return {b""}, True
     return None, True
 
