@@ -2,13 +2,14 @@
 
 Two vectors link when their labels are equal and their cosine is at least
 ``threshold``.  On unit vectors that is a Euclidean distance of at most
-eps = sqrt(2 - 2 * threshold).  Pivots (a hash sample of the vectors, at most
-about ``max_pivots`` in all, none for labels of at most ``cell_rows`` vectors)
+eps = sqrt(2 - 2 * threshold).  Pivots (a hash sample of the label's vectors: one for
+every 64 of them up to ``least_pivots``, and one for every ``cell_rows`` beyond)
 part the vectors of a label into cells by the nearest pivot.  By the triangle
 inequality a vector x of cell i can only link with a vector of cell j if its
 distance from the plane between the pivots, (d(x,pj)^2 - d(x,pi)^2) / (2 d(pi,pj)),
 is at most eps; then x is replicated into cell j (towards the smaller cell number
-only, so a pair is met once) and the cells join independently.
+only, so a pair is met once) and the cells join independently.  The pivots are
+broadcast; should all labels ask for more than ``max_pivots``, each gets its share.
 
 A cell's rows are split by hash into blocks of about ``block_rows`` and a task
 compares one pair of blocks with a matrix product, so neither a hot label nor a
@@ -18,10 +19,13 @@ pairs are never emitted.  Equal vectors are collapsed before and expanded after.
 
 In spaces of high dimension the bound prunes little (uniform vectors go to most
 cells); the result stays exact, the work is then close to all blocks.
+:func:`cell_report` counts what is replicated and which pairs are left out.
 
 Null labels, null or empty vectors, zero vectors and vectors with null or
 non-finite components link with nothing; vectors of different sizes do not link.
-Repeated rows count as vectors of their own.  An empty table gives no rows.
+Repeated rows count as vectors of their own, also under one vec_id, which then
+names each of them.  Vectors of any length are fine; other columns, also of
+clashing names, are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,34 +64,57 @@ def _raw_vectors(vectors: DataFrame) -> DataFrame:
     return slim.mapInArrow(tidy(run), "vec_id long, label string, vec binary")
 
 
+def _distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows (vec_id, label, vec), and the distinct vectors of a label with a ``node`` number."""
+    rows = _raw_vectors(vectors)
+    reps = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    # the number is fixed by writing it
+    return rows, materialize(reps.withColumn("key", F.md5("vec")).withColumn("node", F.monotonically_increasing_id()), "vectors")
+
+
+def _pivots(reps: DataFrame, cell_rows: int, least_pivots: int, max_pivots: int) -> dict[tuple[str, int], np.ndarray]:
+    """Pivots by label and size of vector: about ``max_pivots`` at most."""
+    wanted = reps.groupBy("label", F.octet_length("vec").alias("size")).agg(F.count("*").alias("in_label"))
+    number = F.greatest(F.least(F.floor(F.col("in_label") / 64), F.lit(least_pivots)), F.floor(F.col("in_label") / F.lit(cell_rows)))
+    wanted = materialize(wanted.withColumn("wanted", number).where(F.col("wanted") > 1), "label-counts")
+    total = wanted.agg(F.coalesce(F.sum("wanted"), F.lit(0))).first()[0]
+    scale = min(1.0, max_pivots / max(1, total))
+    hashed = F.pmod(F.xxhash64("key", F.lit("pivot")), F.lit(1 << 30))
+    chosen = reps.withColumn("size", F.octet_length("vec")).join(wanted, ["label", "size"])
+    chosen = chosen.where(hashed < F.col("wanted") / F.col("in_label") * F.lit(scale * (1 << 30))).select("label", "size", "vec")
+    found: dict[tuple[str, int], list[bytes]] = {}
+    for r in chosen.collect():  # about max_pivots rows at most
+        found.setdefault((r["label"], r["size"]), []).append(bytes(r["vec"]))
+    return {k: _unit(sorted(v)) for k, v in found.items() if len(v) > 1}
+
+
+def cell_report(vectors: DataFrame, *, threshold: float = 0.98, cell_rows: int = 8192, least_pivots: int = 8, max_pivots: int = 16_384) -> DataFrame:
+    """label, size, cell, homes, guests (replicated vectors) and compared (pairs of
+    distinct vectors) of each cell; all other pairs of the label are pruned."""
+    ship(vectors.sparkSession)
+    _, reps = _distinct_vectors(vectors)
+    copies = _in_cells(reps, _pivots(reps, cell_rows, least_pivots, max_pivots), _reach(threshold))
+    homes, guests = F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")
+    return copies.groupBy("label", "size", "cell").agg(homes, guests).withColumn("compared", F.expr("homes * (homes - 1) div 2 + homes * guests"))
+
+
+def _reach(threshold: float) -> float:
+    return float(np.sqrt(2 - 2 * threshold)) + 1e-9
+
+
 def range_join(
     vectors: DataFrame,
     *,
     threshold: float = 0.98,
     cell_rows: int = 8192,
     block_rows: int = 2048,
-    max_pivots: int = 4096,
+    least_pivots: int = 8,
+    max_pivots: int = 16_384,
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label)."""
     ship(vectors.sparkSession)
-    rows = _raw_vectors(vectors)
-    reps = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    reps = materialize(reps.withColumn("key", F.md5("vec")), "vectors")
-    per_label = [F.col("label"), F.octet_length("vec").alias("size")]
-    counts = materialize(reps.groupBy(*per_label).agg(F.count("*").alias("in_label")), "label-counts")
-    total = counts.agg(F.coalesce(F.sum(F.when(F.col("in_label") > cell_rows, F.col("in_label"))), F.lit(0))).first()[0]
-    pivots: dict[tuple[str, int], np.ndarray] = {}
-    if total:
-        share = min(1 / cell_rows, max_pivots / total)
-        hashed = F.pmod(F.xxhash64("key", F.lit("pivot")), F.lit(1 << 30))
-        chosen = reps.withColumn("size", F.octet_length("vec")).where(hashed < int(share * (1 << 30)) + 1)
-        chosen = chosen.join(counts.where(F.col("in_label") > cell_rows), ["label", "size"]).select("label", "size", "vec")
-        found: dict[tuple[str, int], list[bytes]] = {}
-        for r in chosen.collect():  # about max_pivots rows at most
-            found.setdefault((r["label"], r["size"]), []).append(bytes(r["vec"]))
-        pivots = {k: _unit(sorted(v)) for k, v in found.items()}
-    eps = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    copies = _in_cells(reps, pivots, eps)
+    rows, reps = _distinct_vectors(vectors)
+    copies = _in_cells(reps, _pivots(reps, cell_rows, least_pivots, max_pivots), _reach(threshold))
     cell = ["label", "size", "cell"]
     sizes = copies.groupBy(*cell).agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("guests"))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(block_rows)).cast("int")
@@ -103,14 +130,16 @@ def range_join(
     as_guest = F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda a: unit(a, F.col("nh") + F.col("own")))
     placed = placed.withColumn("unit", F.explode(F.when(F.col("home"), as_home).otherwise(as_guest)))
     left = F.when(F.col("home"), F.col("own") == F.col("unit.a")).otherwise(F.lit(False))
-    work = placed.select(*cell, F.col("unit.a").alias("a"), F.col("unit.b").alias("b"), left.alias("left"), "rep", "n", "vec")
+    work = placed.select(*cell, F.col("unit.a").alias("a"), F.col("unit.b").alias("b"), left.alias("left"), "node", "n", "vec")
     found = materialize(
-        work.groupBy(*cell, "a", "b").applyInPandas(_joined(threshold), "rep long, links long, root long"), "vector-links"
+        work.groupBy(*cell, "a", "b").applyInPandas(_joined(threshold), "node long, links long, root long"), "vector-links"
     )
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    known = reps.select("label", "key", "rep", "n").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    known = materialize(known.select("label", "key", "rep", "n", "links", "component_id"), "linked-vectors")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    known = reps.select("label", "key", "rep", "n", "node").join(links, "node", "left").join(roots.withColumnRenamed("id", "node"), "node", "left")
+    known = materialize(known.select("label", "key", "rep", "n", "links", F.col("component_id").alias("root")), "linked-vectors")
+    least = known.where("root is not null").groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = known.join(materialize(least, "vector-components"), "root", "left")
     slim = rows.select("vec_id", "label", F.md5("vec").alias("key"))
     out = slim.join(known, ["label", "key"], "left")
     return out.select(
@@ -122,15 +151,18 @@ def range_join(
 
 def _in_cells(reps: DataFrame, pivots: dict, eps: float) -> DataFrame:
     """Every vector in its home cell, and replicated where it can have links."""
-    schema = "label string, size int, cell int, home boolean, rep long, n long, key string, vec binary"
+    shared = reps.sparkSession.sparkContext.broadcast(pivots)  # bounded by max_pivots
+    schema = "label string, size int, cell int, home boolean, node long, n long, key string, vec binary"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        apart = {k: np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) for k, p in pivots.items()}
+        pivots = shared.value
+        most = max(map(len, pivots.values()), default=1)
+        step = max(1, min(512, (1 << 20) // most))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 label, vec = part.column(0).to_pylist(), part.column(3).to_pylist()
                 groups: dict[tuple[str, int], list[int]] = {}
                 for i, (name, v) in enumerate(zip(label, vec, strict=True)):
@@ -146,7 +178,8 @@ def _in_cells(reps: DataFrame, pivots: dict, eps: float) -> DataFrame:
                     near = _unit([vec[i] for i in members]) @ pivots[k].T
                     best = near.argmax(axis=1)
                     gap = near.max(axis=1, keepdims=True) - near
-                    reach = gap <= eps * apart[k][best] + 1e-9
+                    between = np.sqrt(np.maximum(0, 2 - 2 * pivots[k][best] @ pivots[k].T))
+                    reach = gap <= eps * between + 1e-9
                     reach &= np.arange(near.shape[1]) <= best[:, None]
                     row, cell = np.nonzero(reach)
                     take.append(members[row])
@@ -159,10 +192,10 @@ def _in_cells(reps: DataFrame, pivots: dict, eps: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [picked.column(0), pa.array([len(vec[i]) for i in take[b : b + 4096]], pa.int32()), pa.array(cells[b : b + 4096]), pa.array(home[b : b + 4096]),
                          picked.column(1), picked.column(2), picked.column(4), picked.column(3)],
-                        ["label", "size", "cell", "home", "rep", "n", "key", "vec"],
+                        ["label", "size", "cell", "home", "node", "n", "key", "vec"],
                     )
 
-    return reps.select("label", "rep", "n", "vec", "key").mapInArrow(tidy(run), schema)
+    return reps.select("label", "node", "n", "vec", "key").mapInArrow(tidy(run), schema)
 
 
 def _joined(threshold: float):
@@ -173,7 +206,7 @@ def _joined(threshold: float):
         same = bool(left.all())  # a block against itself
         a = block[left]
         b = a if same else block[~left]
-        empty = pd.DataFrame({"rep": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
+        empty = pd.DataFrame({"node": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
         if not len(a) or not len(b) or int(block["a"].iloc[0]) != int(block["b"].iloc[0]) and same:
             return empty
         linked = _unit(a["vec"].tolist()) @ _unit(b["vec"].tolist()).T >= threshold
@@ -181,19 +214,19 @@ def _joined(threshold: float):
             np.fill_diagonal(linked, False)
         if not linked.any():
             return empty
-        rep_a, rep_b = a["rep"].to_numpy(), b["rep"].to_numpy()
+        rep_a, rep_b = a["node"].to_numpy(), b["node"].to_numpy()
         root_a, root_b = _roots(linked, rep_a, rep_b, same)
         rows = [(rep_a, linked @ b["n"].to_numpy(), root_a)]
         if not same:
             rows.append((rep_b, linked.T @ a["n"].to_numpy(), root_b))
-        out = pd.concat([pd.DataFrame({"rep": r, "links": n, "root": t}) for r, n, t in rows])
+        out = pd.concat([pd.DataFrame({"node": r, "links": n, "root": t}) for r, n, t in rows])
         return out[out["links"] > 0]
 
     return join
 
 
 def _roots(linked: np.ndarray, rep_a: np.ndarray, rep_b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest rep reachable within the block, by repeated minima."""
+    """Smallest node reachable within the block, by repeated minima."""
     most = np.iinfo(np.int64).max
     row, col = np.nonzero(linked)
     root_a, root_b = rep_a.copy(), rep_b.copy()
