@@ -16,8 +16,12 @@ stretches run into one another and too little of the whole is matched, a window
 around each of these words is aligned on its own, so copies may follow each other.
 
 One narrow pass over the rows: no shuffle, no skew, memory bounded by a batch.
-Null and empty texts match nothing; repeated rows give repeated results; words of
-any length are fine; other columns are ignored; an empty table gives no rows.
+Where similar templates match the same words, the better match counts (see
+``_told_apart``); equally good ones are all reported, by place and name.
+Null and empty texts match nothing; repeated rows give repeated results; words of any
+length and texts of any length are fine (time grows with the text and the number of
+copies in it); other columns, also of clashing names, are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +36,22 @@ from pyspark.sql import functions as F
 
 from .common import ship, text_bytes, tidy
 
-#: Well-known license statements and notices.
+#: What the two-clause and the three-clause license have in common.
+_BSD_TERMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Well-known license statements, notices and texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": (
@@ -47,16 +66,32 @@ TEMPLATES = {
         '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
         "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
-        "of the Software."
+        'of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+        "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        'above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL '
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+        "SOFTWARE."
     ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
-    "BSD-3-Clause": (
+    "BSD-opening": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
+    "BSD-2-Clause": f"{_BSD_TERMS} {_BSD_WARRANTY}",
+    "BSD-3-Clause": (
+        f"{_BSD_TERMS} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        f"derived from this software without specific prior written permission. {_BSD_WARRANTY}"
+    ),
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -163,7 +198,23 @@ class LicenseScanner:
                         break
                     out.append((name, len(pairs) / len(template), len(pairs), len(template), pairs[0][1], pairs[-1][1]))
                     low = pairs[-1][1] + 1
-        return sorted(set(out), key=lambda x: (x[4], x[5], x[0]))
+        return self._told_apart(sorted(set(out), key=lambda x: (x[4], x[5], x[0])))
+
+    @staticmethod
+    def _told_apart(found: list[tuple]) -> list[tuple]:
+        """Of templates of similar size that match the same words, the one that agrees best
+        with its stretch (twice the matches by the words of both); ties stay both."""
+        open_: list[tuple] = []
+        rank = lambda x: 2 * x[2] / (x[3] + x[5] - x[4] + 1)
+        beaten = set()
+        for x in found:
+            open_ = [y for y in open_ if y[5] >= x[4]]
+            for y in open_:
+                shared, alike = min(x[5], y[5]) - x[4] + 1, max(x[3], y[3]) <= 2 * min(x[3], y[3])
+                if x[0] != y[0] and alike and 2 * shared > min(x[5] - x[4], y[5] - y[4]) and rank(x) != rank(y):
+                    beaten.add(min(x, y, key=rank))
+            open_.append(x)
+        return [x for x in found if x not in beaten]
 
     def _around(self, template: list[str], words: list[str], hit: tuple[int, int], low: int, high: int) -> list[tuple[int, int]]:
         """Matches around a key word (its place in the text, in the template), in a window
