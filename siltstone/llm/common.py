@@ -115,6 +115,27 @@ def text_bytes(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
+def where_text(docs: DataFrame, make: Callable[[], Callable[[list], list[bool]]], rows: int = 256) -> DataFrame:
+    """The rows whose text is good; columns as they were.  ``make`` runs in a worker and
+    gives a function from UTF-8 texts (or None) to what is good.  Whole rows pass through
+    Arrow, so nothing waits in the executor for an answer."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        good = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                kept_rows = part.filter(pa.array(good(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
+                if kept_rows.num_rows:
+                    yield kept_rows
+
+    return docs.mapInArrow(tidy(run), docs.schema)
+
+
 def filesystem(uri: str):
     """pyarrow file system and path of a URI (file, hdfs, s3, ...) or local path."""
     from pyarrow import fs
@@ -196,23 +217,68 @@ class LocalUnionFind:
             self.parent[max(a, b)] = min(a, b)
 
 
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union-find of the edges of a task: each end with the smallest end of its component."""
+    ids, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    parent = np.arange(len(ids))
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    child = np.flatnonzero(parent != np.arange(len(ids)))
+    return ids[child], ids[parent[child]]
+
+
+#: Edges (16 bytes each) that a task contracts at once.
+TASK_EDGES = 1 << 18
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """Written edges (u, v) with those that meet in a task contracted to stars, and
+    whether one task has had them all; what is connected stays so."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def stars(parts: list) -> pa.RecordBatch:
+            u, v = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in contracted(u, v)], ["u", "v"])
+
+        parts, held = [], 0
+        for batch in batches:
+            parts.append(batch)
+            held += batch.num_rows
+            if held >= 2 * TASK_EDGES:
+                yield stars(parts)
+                parts, held = [], 0
+        if held:
+            yield stars(parts)
+
+    tasks = max(1, -(-edges.count() // TASK_EDGES))
+    return materialize(edges.coalesce(tasks).mapInArrow(run, "u long, v long"), "stars"), tasks == 1
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Distributed union-find: (id, component_id) of every id with an edge.
 
     ``edges`` has two long columns, src and dst; loops and repeats are fine.
-    Large-star and small-star steps alternate until every id points to the
-    smallest id of its component.  Each step aggregates a minimum per id (with
+    Tasks contract about ``TASK_EDGES`` edges each to stars on their own.  Where that
+    leaves more than stars, large-star and small-star steps alternate until every id points
+    to the smallest id of its component.  Each step aggregates a minimum per id (with
     partial aggregation) and joins it back from written tables, so adaptive
     execution can split the neighbours of a hot id over many tasks.
     """
-    current = materialize(
-        edges.where("src is not null and dst is not null and src != dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct(),
-        "edges",
-    )
+    ends = [f("src", "dst").cast("long").alias(name) for f, name in ((F.greatest, "u"), (F.least, "v"))]
+    current = materialize(edges.where("src is not null and dst is not null and src != dst").select(*ends).distinct(), "edges")
     for _ in range(max_rounds):
-        if _are_stars(current):
+        current, done = _contracted(current)
+        if done or _are_stars(current):
             break
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large-star")
@@ -225,15 +291,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         current = materialize(small.distinct(), "edges")
     else:
         raise RuntimeError(f"no components after {max_rounds} rounds")
-    found = current.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
-    roots = current.select(F.col("v").alias("id")).distinct().join(found.select("id"), "id", "left_anti")
-    out = found.union(roots.select("id", F.col("id").alias("component_id")))
-    return materialize(out, "components")
+    # in stars an id with an edge has one, and no root has any
+    roots = current.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
+    return materialize(current.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots), "components")
 
 
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every id is either a root or has one edge, which leads to a root."""
-    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
-    ends = ends.union(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    per_id = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("end"))
+    per_id = ends.groupBy("end.id").agg(F.sum("end.up").alias("up"), F.max("end.down").alias("down"))
     return per_id.where("up > 1 or (up > 0 and down > 0)").isEmpty()

@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, ship, text_bytes, tidy
-from .similarity import cell_links, merged_cells, similar, with_component
+from .similarity import cell_links, merged_cells, ranks, similar_pairs, with_component
 
-#: Rows up to which the wanted lines are broadcast (about 40 bytes each).
+#: Wanted lines (about 40 bytes each) up to which they are broadcast.
 BROADCAST_LINES = 500_000
 #: Stands for a null doc_id inside the operator.
 NULL_ID = -(1 << 63)
@@ -43,7 +43,10 @@ SEEN = 200_000
 
 
 def plain(line: str) -> str:
-    return " ".join(line.lower().split())
+    low = line.lower()
+    if low.isprintable() and "  " not in low and low[:1] != " " and low[-1:] != " ":  # no white space but single spaces inside
+        return low
+    return " ".join(low.split())
 
 
 def line_key(line: str) -> bytes:
@@ -88,8 +91,31 @@ def char_tokens(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return out[at], line
 
 
+def token_rows(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens (52 bits) of all lines, by line, and the number of them for each."""
+    flat, sizes, start = [], [], 0
+    while start < len(lines):
+        stop, size = start, 0
+        while stop < len(lines) and (size == 0 or size + len(lines[stop]) <= 100_000) and stop - start < 1 << 12:
+            size += len(lines[stop])
+            stop += 1
+        tokens, line = char_tokens(lines[start:stop], k)
+        mixed = np.sort(line.astype(np.uint64) << np.uint64(52) | tokens >> np.uint64(12))
+        mixed = mixed[np.concatenate(([True], mixed[1:] != mixed[:-1]))]
+        flat.append(mixed & np.uint64((1 << 52) - 1))
+        sizes.append(np.bincount((mixed >> np.uint64(52)).astype(np.int64), minlength=stop - start))
+        start = stop
+    return (np.concatenate(flat), np.concatenate(sizes)) if flat else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def char_sets(lines: list[str], k: int) -> list[np.ndarray]:
+    """The sorted tokens of each line."""
+    flat, sizes = token_rows(lines, k)
+    return np.split(flat, np.cumsum(sizes)[:-1])
+
+
 def char_set(line: str, k: int) -> np.ndarray:
-    return np.unique(char_tokens([line], k)[0])
+    return char_sets([line], k)[0]
 
 
 #: Sets of fewer tokens than the second number are hashed ``bands * band_rows`` times,
@@ -122,15 +148,18 @@ def band_keys(lines: list[str], k: int, bands: int, band_rows: int) -> tuple[np.
 
 
 def _many_hashes(ordered: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    """[line, n] min-hashes by n hash functions."""
+    """[line, n] min-hashes by n hash functions of 32 bits."""
     starts = np.cumsum(counts) - counts
-    tokens = ordered & np.uint64((1 << 47) - 1)
-    out = np.empty((len(counts), n), np.uint64)
+    tokens = (ordered >> np.uint64(15)).astype(np.uint32)  # the upper 32 of a token's 47 bits
+    out = np.empty((n, len(counts)), np.uint32)
+    mixed = np.empty_like(tokens)
     for i in range(n):
-        odd = np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
-        mixed = (tokens ^ (tokens >> np.uint64(21))) * odd
-        out[:, i] = np.minimum.reduceat((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F), starts)
-    return out
+        np.bitwise_xor(tokens, np.uint32(0x9E3779B9 * (i + 1) & 0xFFFFFFFF), out=mixed)
+        mixed *= np.uint32((0x85EBCA6B + 0xC2B2AE36 * i) & 0xFFFFFFFF | 1)
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        np.minimum.reduceat(mixed, starts, out=out[i])
+    return out.T.astype(np.uint64)
 
 
 def _one_hash(ordered: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -219,6 +248,13 @@ def _lines(docs: DataFrame, k: int, bands: int, band_rows: int, bucket_bits: int
     return rows.mapInArrow(tidy(run), "doc_id long, line_no int, line binary, bucket int, keys binary, owners binary")
 
 
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether a sorted key is there more than once."""
+    same = np.zeros(len(keys) + 1, bool)
+    same[1:-1] = keys[1:] == keys[:-1]
+    return same[1:] | same[:-1]
+
+
 def _shared_keys(dealt: DataFrame) -> DataFrame:
     """(key, id) of all keys that several lines have."""
 
@@ -227,19 +263,24 @@ def _shared_keys(dealt: DataFrame) -> DataFrame:
 
         keys = np.frombuffer(b"".join(block["keys"]), "<u4")
         owners = np.frombuffer(b"".join(block["owners"]), "<u8")
+        # key and place fit one word
+        mixed = np.sort(keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64))
+        keys, place = mixed >> np.uint64(32), (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        several = _repeated(keys)
+        keys, owners = keys[several], owners[place[several]]
         order = np.lexsort((owners, keys))
         keys, owners = keys[order], owners[order]
-        first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])))
+        first = np.ones(len(keys), bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
         keys, owners = keys[first], owners[first]
-        same = keys[1:] == keys[:-1]
-        several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        several = _repeated(keys)
         bucket = int(block["bucket"].iloc[0])
         return pd.DataFrame({"key": (bucket << 32) | keys[several].astype(np.int64), "id": owners[several].astype(np.int64)})
 
     return dealt.groupBy("bucket").applyInPandas(shared, "key long, id long")
 
 
-def _line_texts(docs: DataFrame, places: DataFrame, n_docs: int) -> DataFrame:
+def _line_texts(docs: DataFrame, places: DataFrame, n_lines: int) -> DataFrame:
     """(id, tokens) of the lines that ``places`` (doc_id, wanted: line_no and id)
     names; ``tokens`` is the plain line, of which the set is made where it is used."""
 
@@ -262,7 +303,7 @@ def _line_texts(docs: DataFrame, places: DataFrame, n_docs: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "tokens"])
 
-    places = F.broadcast(places) if n_docs <= BROADCAST_LINES else places
+    places = F.broadcast(places) if n_lines <= BROADCAST_LINES else places
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_bytes().alias("text"))
     return rows.join(places, "doc_id").select("text", "wanted").mapInArrow(tidy(run), "id long, tokens binary")
 
@@ -274,13 +315,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            good, last, left = [], None, None
-            for a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
-                if a != last:
-                    last, left = a, char_set(a.decode(), k)
-                good.append(similar(left, char_set(b.decode(), k), percent))
-            keep = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["src", "dst"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
+                number = {line: i for i, line in enumerate(dict.fromkeys(left + right))}
+                tokens, sizes = token_rows([line.decode() for line in number], k)
+                a, b = (np.array([number[x] for x in side], np.int64) for side in (left, right))
+                good = similar_pairs(ranks(tokens), np.cumsum(sizes) - sizes, sizes, a, b, percent)
+                keep = part.filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["src", "dst"])
 
     side = lambda name, tokens: texts.select(F.col("id").alias(name), F.col("tokens").alias(tokens))
     both = pairs.join(side("dst", "y"), "dst").join(side("src", "x"), "src")
@@ -301,18 +344,22 @@ def _found(docs: DataFrame, k: int = 7, percent: int = 80, bands: int = 16, band
     found = materialize(_lines(docs, k, bands, band_rows, bits), "lines")
     lines = found.where("bucket is null").select("doc_id", "line_no", "line")
     shared = materialize(_shared_keys(found.where("bucket is not null").select("bucket", "keys", "owners")), "shared-bands")
-    place = F.struct("doc_id", "line_no")
+    place = F.expr("cast(cast(doc_id as decimal(20,0)) * 2147483648 + line_no as decimal(38,0))")  # in the order of (doc_id, line_no)
+    line_of = lambda c: F.pmod(F.col(c), F.lit(1 << 31)).cast("int")
+    doc_of = lambda c: ((F.col(c) - F.pmod(F.col(c), F.lit(1 << 31))) / F.lit(1 << 31)).cast("long")
     short = F.conv(F.hex(F.concat(*[F.substring("line", i, 1) for i in range(8, 0, -1)])), 16, -10).cast("long")
     distinct = materialize(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).withColumn("id", short), "distinct-lines")
-    wanted = distinct.join(shared.select("id").distinct(), "id", "left_semi")
-    wanted = materialize(wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "id")).alias("wanted")), "wanted-lines")
-    texts = materialize(_line_texts(docs, wanted, wanted.count()), "line-texts")
+    wanted = distinct.join(shared.select("id").distinct(), "id", "left_semi").select(doc_of("first").alias("doc_id"), line_of("first").alias("line_no"), "id")
+    n_wanted = F.count("*").alias("n_wanted")
+    wanted = materialize(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"), n_wanted), "wanted-lines")
+    n_wanted = wanted.agg(F.coalesce(F.sum("n_wanted"), F.lit(0))).first()[0]
+    texts = materialize(_line_texts(docs, wanted.drop("n_wanted"), n_wanted), "line-texts")
     leaders = materialize(shared.groupBy("key").agg(F.min("id").alias("src"), F.count("*").alias("m")), "band-leaders")
     pairs = shared.join(leaders, "key").where("id != src").select("src", F.col("id").alias("dst")).distinct()
     links = materialize(_verified(materialize(pairs, "line-pairs"), texts, k, percent), "line-links")
     groups = components(links)
     larger = shared.join(leaders.where("m > 2").select("key"), "key", "left_semi")
-    read = lambda line: char_set(line.decode(), k)
+    read = lambda lines: char_sets([x.decode() for x in lines], k)
     rest = cell_links(merged_cells(materialize(with_component(larger, groups), "line-cells")), texts, percent, whole=True, read=read)
     if not rest.isEmpty():
         groups = components(links.union(rest))
@@ -320,10 +367,11 @@ def _found(docs: DataFrame, k: int = 7, percent: int = 80, bands: int = 16, band
     keeper = repeated.where("n > 1 or comp != id").select("comp").union(groups.select(F.col("component_id").alias("comp"))).distinct()
     repeated = materialize(repeated.join(keeper, "comp", "left_semi"), "repeated-lines")
     keeper = materialize(repeated.groupBy("comp").agg(F.min("first").alias("keeper")), "kept-lines")
-    known = materialize(repeated.join(keeper, "comp").select("line", "keeper"), "line-keepers")
-    out = lines.join(known, "line", "left").withColumn("keeper", F.coalesce("keeper", place))
+    known = repeated.join(keeper, "comp").select("line", doc_of("keeper").alias("keeper_doc_id"), line_of("keeper").alias("keeper_line_no"))
+    out = lines.join(materialize(known, "line-keepers"), "line", "left")
+    out = out.withColumns({c: F.coalesce(c, c.removeprefix("keeper_")) for c in ("keeper_doc_id", "keeper_line_no")})
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    out = out.select("doc_id", "line_no", "line", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"))
+    out = out.select("doc_id", "line_no", "line", "keeper_doc_id", "keeper_line_no")
     kept = (F.col("doc_id") == F.col("keeper_doc_id")) & (F.col("line_no") == F.col("keeper_line_no"))
     return out.withColumn("kept", kept).withColumn("doc_id", shown("doc_id")).withColumn("keeper_doc_id", shown("keeper_doc_id"))
 
@@ -335,25 +383,46 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     dropped = dropped.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__dropped_of")).agg(F.collect_set(F.struct("line_no", "line")).alias("__dropped_lines"))
     dropped = materialize(dropped, "dropped-lines")
 
-    @F.udf("string")
-    def without(text, dropped):
-        if text is None or dropped is None:
-            return text
+    joined = docs.join(dropped, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == dropped["__dropped_of"], "left")
+    joined = joined.select(*[docs[c] for c in docs.columns], "__dropped_lines")
+    return joined.mapInArrow(tidy(_without(docs.columns)), docs.schema)
+
+
+def _without(columns: list[str]):
+    """Rows (the last column: what is dropped) without dropped lines, or None where no line is left."""
+    at, size_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def without(text: str, dropped: list[dict]) -> str | None:
         # rows that share a doc_id (or have none) have other lines at these places
         numbers = {x["line_no"] for x in dropped}
-        dropped = {(x["line_no"], bytes(x["line"])) for x in dropped}
+        named = {(x["line_no"], x["line"]) for x in dropped}
         lines = text.split("\n")
-        left = [x for i, x in enumerate(lines) if i not in numbers or (i, line_key(plain(x))[:8]) not in dropped]
+        left = [x for i, x in enumerate(lines) if i not in numbers or (i, line_key(plain(x))[:8]) not in named]
         if len(left) == len(lines):
             return text
         return "\n".join(left) if any(x.strip() for x in left) else None
 
-    joined = docs.join(dropped, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == dropped["__dropped_of"], "left")
-    touched = F.col("__dropped_lines").isNotNull()
-    joined = joined.withColumn("text", F.when(touched, without("text", "__dropped_lines")).otherwise(F.col("text")))
-    joined = joined.where(~touched | F.col("text").isNotNull())
-    sizes = {"n_chars": F.when(touched, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return joined.select(*[sizes[c].alias(c) if c in sizes else F.col(c) if c == "text" else docs[c] for c in docs.columns])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            plain_rows, dropped = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
+            touched = pc.and_(dropped.is_valid(), plain_rows[at].is_valid())
+            where = pc.indices_nonzero(touched)
+            if len(where):
+                pairs = zip(plain_rows[at].take(where).to_pylist(), dropped.take(where).to_pylist(), strict=True)
+                texts = [without(t, d) for t, d in pairs]
+                plain_rows[at] = pc.replace_with_mask(plain_rows[at], touched, pa.array(texts, plain_rows[at].type))
+                if size_at is not None:
+                    sizes = pa.array([len(t or "") for t in texts], pa.int64()).cast(plain_rows[size_at].type)
+                    plain_rows[size_at] = pc.replace_with_mask(plain_rows[size_at], touched, sizes)
+            out = pa.RecordBatch.from_arrays(plain_rows, columns)
+            if len(where):
+                out = out.filter(pc.or_(pc.invert(touched), plain_rows[at].is_valid()))
+            yield out
+
+    return run
 
 
 def brute_force(texts: dict[int, str | None], k: int = 7, percent: int = 80) -> dict[tuple[int, int], tuple[int, int]]:
