@@ -1,24 +1,26 @@
 """Operator 1: language identification by bit-sliced Bloom filters of n-grams.
 
-One filter per language, stored bit-sliced: row r of the table is a bitmask whose
-bit L says that row r is set in the filter of language L.  The AND of the rows of
+One filter per language, stored bit-sliced: row r of the table is a bitmask (a word
+for every 64 languages) whose bit L says that row r is set in the filter of language L.  The AND of the rows of
 an n-gram is the mask of all languages that contain it, so a single probe answers
 for all of them.  A text's n-grams (runs of ``n`` bytes of its lower-cased UTF-8)
 are probed and counted per language; each count is corrected for the filter's
 false positives, (hits - total * fpr) / (1 - fpr), and the language with the
 largest corrected count wins.
 
-Training uses a sample of at most ``train_docs`` labelled rows (expected number;
-rows are chosen by a hash of doc_id) and keeps the ``grams`` most telling n-grams
-of each of at most 64 languages, so the model has a fixed size (8 bytes for each
-of ``rows`` rows) and is broadcast.  An n-gram belongs to a language if it is at
-least 1/``ratio`` as frequent there as in the language where it is most frequent.
+Training uses a sample of about ``train_docs`` labelled rows of each language (all of
+a rarer one; rows are chosen by a hash of doc_id and text) and keeps the ``grams`` most
+frequent of its telling n-grams, so the model grows with the number of languages only
+(8 bytes for each of ``rows`` rows and 64 languages) and is broadcast.  An n-gram belongs
+to a language if it is at least 1/``ratio`` as frequent there as in the language where
+it is most frequent.
 
 Prediction is one narrow pass that sees the text only.  Null texts and texts
 without a letter are ``und`` with score 0; ties go to the language that sorts
 first; a text that hits no filter takes the first language with score 0.
-Repeated rows, other columns and very long texts need nothing special; an empty
-training table gives ``und`` for all.
+Rows without a doc_id are not held out.  Very long texts are probed in parts of
+bounded size.  Repeated rows and other columns, also of clashing names, need nothing
+special; an empty training table gives ``und`` for all.
 """
 
 from __future__ import annotations
@@ -27,19 +29,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes, tidy
+from .common import materialize, ship, text_bytes, tidy, where_text
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-MOST_LANGUAGES = 64
+#: Bytes of text that are probed at once.
+PART = 1 << 20
+#: Parts in which the n-grams of a language are ranked first.
+PARTS = 32
 
 
-def text_grams(text: bytes, n: int) -> np.ndarray:
-    """The ``n``-byte runs of a lower-cased text, as integers in order."""
-    b = np.frombuffer(b" " + text + b" ", np.uint8)
+def text_grams(text: bytes, n: int, first: bool = True, last: bool = True) -> np.ndarray:
+    """The ``n``-byte runs of a lower-cased text, as integers in order; a space counts
+    before its ``first`` and after its ``last`` part."""
+    b = np.frombuffer(b" " * first + text + b" " * last, np.uint8)
     if len(b) < n:
         return np.empty(0, np.uint64)
     out = b[: len(b) - n + 1].astype(np.uint64)
@@ -58,21 +63,24 @@ def lowered(text: bytes) -> tuple[bytes, bool]:
 class LanguageModel:
     languages: tuple[str, ...]
     n: int
-    table: np.ndarray  # uint64 bitmask of languages for each row
+    table: np.ndarray  # [row, word]: uint64 bitmasks of 64 languages each
     fpr: np.ndarray  # of each language's filter
 
     @classmethod
     def build(cls, grams: dict[str, np.ndarray], n: int, rows: int, hashes: int) -> "LanguageModel":
         languages = tuple(sorted(grams))
-        table = np.zeros(rows, np.uint64)
-        for bit, language in enumerate(languages):
+        table = np.zeros((rows, -(-max(1, len(languages)) // 64)), np.uint64)
+        filled = np.zeros(len(languages))
+        for number, language in enumerate(languages):
+            own = np.zeros(rows, bool)
             for row in _rows(grams[language], rows, hashes):
-                np.bitwise_or.at(table, row, np.uint64(1 << bit))
-        filled = np.array([np.mean(table >> np.uint64(b) & np.uint64(1)) for b in range(len(languages))])
+                own[row] = True
+            table[own, number // 64] |= np.uint64(1 << number % 64)
+            filled[number] = own.mean()
         return cls(languages, n, table, filled**hashes)
 
     def masks(self, grams: np.ndarray, hashes: int = 3) -> np.ndarray:
-        """For each n-gram the bitmask of all languages that contain it."""
+        """For each n-gram the bitmask of all languages that contain it, as words."""
         found = None
         for row in _rows(grams, len(self.table), hashes):
             found = self.table[row] if found is None else found & self.table[row]
@@ -82,31 +90,45 @@ class LanguageModel:
         out: list = [("und", 0.0)] * len(texts)
         if not self.languages:
             return out
-        which, parts = [], []
+        which = np.zeros(len(texts), bool)
+        hits, sizes = np.zeros((len(self.languages), len(texts)), np.int64), np.zeros(len(texts), np.int64)
+        waiting: list[tuple[int, np.ndarray]] = []
+        held = 0
         for i, text in enumerate(texts):
-            if text is not None:
-                text, letter = lowered(text)
-                grams = text_grams(text, self.n)
-                if letter and len(grams):
-                    which.append(i)
-                    parts.append(grams)
-                elif letter:
-                    out[i] = (self.languages[0], 0.0)
-        if not parts:
-            return out
-        sizes = np.array([len(p) for p in parts])
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        masks = self.masks(np.concatenate(parts))
-        shares = np.empty((len(self.languages), len(parts)))
-        for bit in range(len(self.languages)):
-            hits = np.add.reduceat((masks >> np.uint64(bit) & np.uint64(1)).astype(np.int64), starts)
-            fpr = min(self.fpr[bit], 0.999)
-            shares[bit] = np.clip((hits - sizes * fpr) / (1 - fpr) / sizes, 0, 1)
+            if text is None:
+                continue
+            text, which[i] = lowered(text)
+            if not which[i]:
+                continue
+            for at in range(0, max(1, len(text) - self.n + 3), PART):
+                grams = text_grams(text[at : at + PART + self.n - 1], self.n, at == 0, at + PART + self.n - 1 > len(text))
+                if len(grams):
+                    waiting.append((i, grams))
+                    held += len(grams)
+                if held >= PART:
+                    self._count(waiting, hits, sizes)
+                    waiting, held = [], 0
+        self._count(waiting, hits, sizes)
+        fpr = np.minimum(self.fpr, 0.999)[:, None]
+        shares = np.clip((hits - sizes * fpr) / (1 - fpr) / np.maximum(sizes, 1), 0, 1)
         best = shares.argmax(axis=0)
-        for j, i in enumerate(which):
-            out[i] = (self.languages[best[j]], float(shares[best[j], j]))
+        for i in np.flatnonzero(which):
+            out[i] = (self.languages[best[i]], float(shares[best[i], i]))
         return out
 
+    def _count(self, parts: list[tuple[int, np.ndarray]], hits: np.ndarray, sizes: np.ndarray) -> None:
+        """Add the popcounts of each language over the n-grams of texts."""
+        if not parts:
+            return
+        own = np.array([i for i, _ in parts])
+        counts = np.array([len(g) for _, g in parts])
+        starts = np.cumsum(counts) - counts
+        np.add.at(sizes, own, counts)
+        masks = self.masks(np.concatenate([g for _, g in parts]))
+        for number in range(len(self.languages)):
+            found = (masks[:, number // 64] >> np.uint64(number % 64) & np.uint64(1)).astype(np.int64)
+            np.add.at(hits[number], own, np.add.reduceat(found, starts))
+
 
 def _rows(grams: np.ndarray, rows: int, hashes: int) -> Iterator[np.ndarray]:
     bits = np.uint64(64 - (rows - 1).bit_length())
@@ -119,7 +141,7 @@ def _rows(grams: np.ndarray, rows: int, hashes: int) -> Iterator[np.ndarray]:
 def train(
     labelled: DataFrame,
     *,
-    train_docs: int = 20_000,
+    train_docs: int = 5_000,
     grams: int = 6000,
     n: int = 4,
     rows: int = 1 << 18,
@@ -129,14 +151,11 @@ def train(
     """Fit the filters on (doc_id, text, lang); rows with null text or lang are left out."""
     ship(labelled.sparkSession)
     usable = labelled.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    total = sum(sizes.values())
-    if not total:
-        return LanguageModel((), n, np.zeros(rows, np.uint64), np.zeros(0))
-    share = min(1.0, train_docs / total)
-    sample = usable.where(F.col("lang").isin(*sizes)).where(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1_000_003)) < int(np.ceil(share * 1_000_003))
-    )
+    sizes = materialize(usable.groupBy("lang").agg(F.count("*").alias("n_docs")), "language-sizes")
+    share = F.lit(float(train_docs)) / F.col("n_docs") * F.lit(float(1 << 30))
+    number = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("train")), F.lit(1 << 30))
+    # a row per language: small at any size of the corpus
+    sample = usable.join(F.broadcast(sizes), "lang").where(number < share)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -152,22 +171,19 @@ def train(
                 )
 
     counted = sample.select(text_bytes().alias("text"), "lang").mapInArrow(tidy(count), "lang string, gram long, c long")
-    counted = counted.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    of_lang = Window.partitionBy("lang")
-    common = counted.withColumn("total", F.sum("c").over(of_lang)).withColumn(
-        "place", F.row_number().over(of_lang.orderBy(F.desc("c"), "gram"))
-    ).where(F.col("place") <= 4 * grams)
-    kept: dict[str, dict[int, float]] = {language: {} for language in sizes}
-    for r in common.collect():  # at most 64 languages with 4 * grams rows each
-        kept[r["lang"]][r["gram"]] = r["c"] / r["total"]
-    top: dict[int, float] = {}
-    for of in kept.values():
-        for g, f in of.items():
-            top[g] = max(top.get(g, 0.0), f)
-    chosen = {}
-    for language, of in kept.items():
-        own = sorted((g for g, f in of.items() if f * ratio >= top[g]), key=lambda g: (-of[g], g))[:grams]
-        chosen[language] = np.array(own, np.int64).astype(np.uint64)
+    counted = materialize(counted.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "gram-counts")
+    totals = counted.groupBy("lang").agg(F.sum("c").alias("total"))
+    shares = counted.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("c") / F.col("total")).alias("f"))
+    telling = shares.join(shares.groupBy("gram").agg(F.max("f").alias("top")), "gram").where(F.col("f") * ratio >= F.col("top"))
+    # of each language the most frequent ones, first by part of the grams: no task ranks a whole language
+    first = Window.partitionBy("lang", "part").orderBy(F.desc("f"), "gram")
+    telling = telling.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).withColumn("place", F.row_number().over(first)).where(F.col("place") <= grams)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("f"), "gram"))
+    telling = telling.select("lang", "gram", "f").withColumn("place", place).where(F.col("place") <= grams)
+    chosen = {r["lang"]: np.empty(0, np.uint64) for r in sizes.select("lang").collect()}
+    # a row of ``grams`` numbers at most for each language
+    for r in telling.groupBy("lang").agg(F.sort_array(F.collect_list("gram")).alias("grams")).toLocalIterator():
+        chosen[r["lang"]] = np.array(r["grams"], np.int64).astype(np.uint64)
     return LanguageModel.build(chosen, n, rows, hashes)
 
 
@@ -195,20 +211,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def accepted(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
     """The rows whose text has a letter and a language with at least ``least_score``;
     columns as they were.  The decision is made for each row from its own text."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def good(texts: pd.Series) -> pd.Series:
-        found: list[bool] = []
-        for at in range(0, len(texts), 256):
-            part = [None if t is None else bytes(t) for t in texts.iloc[at : at + 256]]
-            found += [name != "und" and score >= least_score for name, score in shared.value.predict(part)]
-        return pd.Series(found, dtype=bool)
-
-    return docs.where(F.pandas_udf(good, "boolean")(F.col("text").cast("binary")))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    good = lambda texts: [name != "und" and score >= least_score for name, score in shared.value.predict(texts)]
+    return where_text(docs, lambda: good)
 
 
 def held_out() -> "F.Column":
     """Whether a row is kept from training: crc32 of doc_id as text, modulo 5, is 0."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
