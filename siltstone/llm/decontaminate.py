@@ -1,8 +1,9 @@
 """Operator 5: benchmark decontamination by template canonicalisation.
 
-Texts are read as words without case and outer punctuation.  Numbers, units and
-names (capitalised words inside a sentence) become typed placeholders, so that a
-question keeps its template when its parameters are changed.  Windows of
+Texts are read as words without case and outer punctuation.  Numbers (also as words),
+units and names (capitalised words, but not a function word that starts a sentence)
+become typed placeholders, so that a question keeps its template when its parameters
+are changed.  Windows of
 ``window`` template words of the benchmark items form a hash table; an item with
 fewer words is one window.  The windows of all documents are looked up in it.
 The table also has the windows in which names are plain words without case, as a
@@ -19,7 +20,9 @@ contaminated by an item if the counted windows of an alignment cover at least
 ``least_cover`` of the item's words and ``window`` words (or the whole item).
 Windows with fewer literal words than ``least_literal`` hit only where every value
 is equal, since a run of placeholders says nothing.  Items of fewer than five words
-are left out: they occur in texts that have nothing to do with them.
+match where all their chunks, signs included, follow each other as they are (case and
+outer punctuation apart); only items of one or two chunks are left out, since they
+occur in texts that have nothing to do with them.
 
 The benchmark is used in blocks of ``block_items`` items, each broadcast with a
 bound of ``block_words`` words: the documents are read once for each block.
@@ -27,8 +30,10 @@ There is no shuffle of documents and no skew; memory is bounded by a block and
 a batch of rows.
 
 Null or empty documents and items never match.  Repeated documents are reported
-as often as they occur, repeated items under each of their ids.  Words of any
-length and texts of any size are fine; an empty table gives no rows.
+as often as they occur, repeated items under each of their ids.  Of alignments that cover
+equally many words the first counts.  Words of any length and texts of any size are fine,
+other columns, also of clashing names, are ignored (and kept by :func:`clean`); an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,11 +43,10 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, ship, text_bytes, tidy, window_hashes
+from .common import kept, ship, text_bytes, tidy, where_text, window_hashes
 
 #: Words that stand for units of measure.
 UNITS = frozenset(
@@ -52,6 +56,17 @@ UNITS = frozenset(
     "second seconds minute minutes hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros percent degree degrees °c °f % $ € £ m² m³ km² km/h mph m/s".split()
 )
+#: Numbers as words.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
+#: Words that are no names at the start of a sentence.
+FUNCTION_WORDS = frozenset(
+    "a about after all an and any are as at be because before but by calculate can compute consider could determine did do does each every find "
+    "for from given had has have he her here his how i if in is it its let many most my no not of on or our she should show so some solve suppose "
+    "that the their then there these they this those to under until was we were what when where which while who whose why will with would you your".split()
+)
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?%?")
 _EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w%°²³]+$")
 
@@ -63,6 +78,8 @@ class Word(NamedTuple):
     kind: int  # LITERAL, NUMBER or UNIT
     capital: bool
     ends: bool  # the next word starts a sentence
+    common: bool  # no name where it starts a sentence
+    raw: int  # hash of the plain word, or of a chunk without a word
 
 
 def read_word(chunk: bytes) -> Word:
@@ -71,22 +88,26 @@ def read_word(chunk: bytes) -> Word:
     text = chunk.decode("utf-8", "replace")
     body = text[:-1] if text[-1:] in (".", ",") else text
     if body.isalpha():  # by far the most
-        lower = body.casefold()
-        kind = UNIT if lower in UNITS else LITERAL
-        return Word(xxh3_64_intdigest(lower.encode()) | 1, kind, kind == LITERAL and body[0].isupper(), text[-1] == ".")
-    ends = text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…", ";")
-    plain = _EDGE.sub("", text)
-    lower = plain.casefold()
-    if not any(map(str.isalnum, plain)) and lower not in UNITS:
-        return Word(0, LITERAL, False, ends)
-    kind = NUMBER if _NUMBER.fullmatch(lower) else UNIT if lower in UNITS else LITERAL
-    return Word(xxh3_64_intdigest(lower.encode()) | 1, kind, kind == LITERAL and plain[:1].isupper(), ends)
+        lower, ends = body.casefold(), text[-1] == "."
+        kind = UNIT if lower in UNITS else NUMBER if lower in NUMBER_WORDS else LITERAL
+        first_upper = body[0].isupper()
+    else:
+        ends = text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…", ";")
+        plain = _EDGE.sub("", text)
+        lower = plain.casefold()
+        if not any(map(str.isalnum, plain)) and lower not in UNITS:
+            return Word(0, LITERAL, False, ends, False, xxh3_64_intdigest(text) | 1)
+        number = _NUMBER.fullmatch(lower) or all(x in NUMBER_WORDS for x in lower.split("-"))
+        kind = NUMBER if number else UNIT if lower in UNITS else LITERAL
+        first_upper = plain[:1].isupper()
+    value = xxh3_64_intdigest(lower.encode()) | 1
+    return Word(value, kind, kind == LITERAL and first_upper, ends, lower in FUNCTION_WORDS, value)
 
 
 class TemplateReader:
-    """Texts as (template, values, kinds, bounds).  A template slot is a literal word, a
+    """Texts as (template, values, kinds, bounds, chunks).  A template slot is a literal word, a
     number with its unit, a unit, or a run of names; slot i has the words from bounds[i]
-    to bounds[i + 1], of which values and kinds tell.
+    to bounds[i + 1], of which values and kinds tell; chunks are all of them, signs too.
 
     Chunks are remembered, up to ``limit``, as numbers of rows in tables."""
 
@@ -98,19 +119,20 @@ class TemplateReader:
         self.number: dict[bytes, int] = {}
         self.size = 0
         self.values = np.zeros(1 << 12, np.uint64)
+        self.raw = np.zeros(1 << 12, np.uint64)
         self.flags = np.zeros(1 << 12, np.uint8)
 
     def _add(self, chunk: bytes) -> int:
         w = read_word(chunk)
         if self.size == len(self.values):
-            self.values, self.flags = np.resize(self.values, 2 * self.size), np.resize(self.flags, 2 * self.size)
-        self.values[self.size] = w.value
-        self.flags[self.size] = w.kind | w.capital << 2 | w.ends << 3
+            self.values, self.raw, self.flags = (np.resize(x, 2 * self.size) for x in (self.values, self.raw, self.flags))
+        self.values[self.size], self.raw[self.size] = w.value, w.raw
+        self.flags[self.size] = w.kind | w.capital << 2 | w.ends << 3 | w.common << 4
         self.number[chunk] = self.size
         self.size += 1
         return self.size - 1
 
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         chunks = text.split()
         if self.size > self.limit:
             self._clear()
@@ -119,7 +141,7 @@ class TemplateReader:
             get, add = self.number.get, self._add
             rows = [r if r is not None else known if (known := get(c)) is not None else add(c) for r, c in zip(rows, chunks, strict=True)]
         rows = np.array(rows, np.int64)
-        values, flags = self.values[rows], self.flags[rows]
+        values, flags, raw = self.values[rows], self.flags[rows], self.raw[rows]
         starts = np.ones(len(flags), bool)
         starts[1:] = flags[:-1] & 8
         keep = values > 0
@@ -131,12 +153,12 @@ class TemplateReader:
             starts = (before < 0) | (any_end[np.arange(len(keep))] - any_end[np.maximum(before, 0)] > 0)
         values, flags, starts = values[keep], flags[keep], starts[keep]
         kinds = flags & 3
-        kinds = np.where((flags & 4 > 0) & ~starts, NAME, kinds)
+        kinds = np.where((flags & 4 > 0) & ~(starts & (flags & 16 > 0)), NAME, kinds)
         before, after = kinds[:-1], kinds[1:]
         joined = ((before == NAME) & (after == NAME)) | ((before == NUMBER) & (after == UNIT))
         bounds = np.concatenate(([0] if len(kinds) else [], np.flatnonzero(~joined) + 1, [len(kinds)])).astype(np.int64)
         own = kinds[bounds[:-1]]
-        return np.where(own == LITERAL, values[bounds[:-1]], own.astype(np.uint64)), values, kinds, bounds
+        return np.where(own == LITERAL, values[bounds[:-1]], own.astype(np.uint64)), values, kinds, bounds, raw
 
 
 def folded_words(values: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -165,10 +187,16 @@ class BenchmarkIndex:
         reader = TemplateReader()
         self.window, self.least_literal = window, least_literal
         self.items = [(item_id, *reader.read((text or "").encode())) for item_id, text in items]
+        #: number of chunks -> hash of all chunks -> items of few words
+        self.short: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for item_id, _, values, _, _, chunks in self.items:
+            if len(values) < least_words and len(chunks) >= 3:
+                whole = int(window_hashes(chunks, len(chunks))[0])
+                self.short.setdefault(len(chunks), {}).setdefault(whole, []).append((item_id, len(values)))
         self.items = [x for x in self.items if len(x[2]) >= least_words]
         self.tables = {}
         by_size: dict[int, set] = {}
-        for at, (_, template, values, kinds, bounds) in enumerate(self.items):
+        for at, (_, template, values, kinds, bounds, _) in enumerate(self.items):
             size, slots = min(window, len(values)), min(window, len(template))
             typed = self._count(kinds[bounds[:-1]] == LITERAL, slots) >= min(least_literal, slots)
             folded = self._count((kinds == LITERAL) | (kinds == NAME), size) >= min(least_literal, size)
@@ -209,10 +237,21 @@ class BenchmarkIndex:
                         out.setdefault(item, {}).setdefault((by_slot, at - starts[reading] - place, size), set()).add(place)
         return out
 
-    def matches(self, template: np.ndarray, values: np.ndarray, kinds: np.ndarray, bounds: np.ndarray, least_cover: float) -> list[tuple]:
+    def _short_matches(self, chunks: np.ndarray) -> Iterator[tuple]:
+        for size, wanted in self.short.items():
+            hashes = window_hashes(chunks, size)
+            for place in np.flatnonzero(np.isin(hashes, np.fromiter(wanted, np.uint64, len(wanted)))).tolist():
+                for item_id, words in wanted[int(hashes[place])]:
+                    yield item_id, place, words
+
+    def matches(self, template: np.ndarray, values: np.ndarray, kinds: np.ndarray, bounds: np.ndarray, chunks: np.ndarray, least_cover: float) -> list[tuple]:
         """(item_id, first word, words covered, words of the item, slots, changed slots)
         of the best alignment of each item that is covered enough."""
-        out = []
+        out, seen = [], set()
+        for item_id, place, words in self._short_matches(chunks):
+            if item_id not in seen:
+                seen.add(item_id)
+                out.append((item_id, place, words, words, 0, 0))
         for at, diagonals in self.hits(template, values, kinds).items():
             n = len(self.items[at][2])
             cover = self._best(self._segments(at, diagonals, values, kinds, bounds), n)
@@ -225,7 +264,7 @@ class BenchmarkIndex:
     def _segments(self, at: int, diagonals: dict, values: np.ndarray, kinds: np.ndarray, bounds: np.ndarray) -> list[tuple]:
         """(place in the document, in the item, diagonal, mask, windows) of the unbroken
         parts of diagonals; a window is a list of (item span, document span, slot pairs)."""
-        _, _, item_values, item_kinds, item_bounds = self.items[at]
+        _, _, item_values, item_kinds, item_bounds, _ = self.items[at]
         out = []
         for (by_slot, diagonal, size), places in diagonals.items():
             units: dict[int, tuple] = {}
@@ -319,8 +358,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     The decision is made for each row from its own text, without a join."""
     options = {"window": 8, "least_cover": 0.5, "least_literal": 4, "block_items": 20_000, "block_words": 4_000_000} | options
     for index in _blocks(benchmark, options["window"], options["least_literal"], options["block_items"], options["block_words"]):
-        found = _found_udf(docs, index, options["least_cover"])
-        docs = docs.where(~found(text_bytes()))
+        docs = where_text(docs, _unmatched(docs, index, options["least_cover"]))
     return docs
 
 
@@ -364,12 +402,11 @@ def _lookup(docs: DataFrame, index: BenchmarkIndex, least_cover: float):
     return run
 
 
-def _found_udf(docs: DataFrame, index: BenchmarkIndex, least_cover: float):
-    ship(docs.sparkSession)
+def _unmatched(docs: DataFrame, index: BenchmarkIndex, least_cover: float):
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def found(texts: pd.Series) -> pd.Series:
-        reader = _reader()
-        return pd.Series([bool(shared.value.matches(*reader.read(bytes(t)), least_cover)) for t in texts], dtype=bool)
+    def make():
+        reader, index = _reader(), shared.value
+        return lambda texts: [not t or not index.matches(*reader.read(t), least_cover) for t in texts]
 
-    return F.pandas_udf(found, "boolean")
+    return make

@@ -1,6 +1,7 @@
 """Operators that compare rows: 4, 7, 8 and 10, against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -212,3 +213,84 @@ def test_salvage_recovers_what_is_valid(packed):
     assert pages(whole[: -len(parts[7]) // 2]) == ids[:7]
     assert pages(b"junk \x1f\x8b\x08 WARC/1.0 junk" + whole) == ids
     assert pages(b"") == [] and [type(x) for x in warc.salvage(b"only junk")] == [warc.Gap]
+
+
+def test_salvage_inside_a_member():
+    plain = archive(False)
+    ids = [warc.page_urn(i) for i in range(8)]
+    pages = lambda data: [x.headers["warc-record-id"] for x in warc.salvage(data) if isinstance(x, warc.Record)]
+    spoilt = bytearray(b"".join(plain))
+    spoilt[len(plain[0]) + len(plain[1]) // 2] ^= 0x55
+    member = warc.gzip_member(bytes(spoilt))
+    found = list(warc.salvage(member + warc.gzip_member(plain[0])))
+    assert pages(member + warc.gzip_member(plain[0])) == [ids[0], *ids[2:], ids[0]]
+    assert [(g.plain_offset, g.plain_length) for g in found if isinstance(g, warc.Gap)] == [(len(plain[0]), len(plain[1]))]
+    whole = warc.gzip_member(b"".join(plain))
+    assert pages(whole) == ids
+    assert pages(whole[:-30]) == ids[:7] or pages(whole[:-30]) == ids
+    assert pages(whole[:-30] + whole) == pages(whole[:-30]) + ids  # cut short, and another member follows
+    stored = bytearray(warc.gzip_member(b"".join(plain), 0))  # not compressed: damage stays where it is
+    stored[stored.index(b"payload 3 payload 3") + 40] ^= 0x55
+    assert pages(bytes(stored)) == ids[:3] + ids[4:]
+    assert any(isinstance(x, warc.Gap) for x in warc.salvage(bytes(stored)))
+    without = b"".join(re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]*\r\n", b"", r) for r in plain)
+    assert pages(warc.gzip_member(without)) == ids and pages(warc.gzip_member(without)[:-3]) == []
+
+
+def test_components_over_several_tasks(spark, monkeypatch):
+    """Edges that do not fit one task need the distributed steps."""
+    monkeypatch.setattr(common, "TASK_EDGES", 16)
+    rng = np.random.default_rng(5)
+    chain = [(i, i + 1) for i in range(100, 160)] + [(1000, 1000 + i) for i in range(1, 50)] + [tuple(x) for x in rng.integers(2000, 2040, (40, 2)).tolist()]
+    found = {r["id"]: r["component_id"] for r in common.components(spark.createDataFrame(chain, "src long, dst long").repartition(7)).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in chain:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    linked = {x for e in chain if e[0] != e[1] for x in e}
+    assert found == {x: find(x) for x in linked}
+
+
+def test_line_dedup_keeps_unique_lines_of_rows_without_doc_id(spark):
+    shared = "a line that all of these documents have in common, word for word"
+    rows = [
+        (1, f"{shared}\nunique line of document one"), (None, f"unique line of document A that must stay\n{shared}"),
+        (None, f"{shared}\nunique closing line of B"), (7, f"{shared}\nunique words of copy A only"), (7, f"unique words of copy B\n{shared}"),
+    ]
+    out = {r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept_lines = [x for t in out for x in t.split("\n")]
+    for line in ("document one", "document A", "closing line of B", "copy A only", "copy B"):
+        assert sum(line in x for x in kept_lines) == 1
+    assert 1 <= kept_lines.count(shared) <= 2
+
+
+def test_vectors_that_share_an_id(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.999, 0.01]
+    rows = [(5, a, 1), (5, b, 1), (7, c, 1), (9, a, 1), (5, a, 2), (None, b, 1)]
+    out = vector_join.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    found = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=str)
+    assert found == sorted([(5, 1, 5), (5, 2, 5), (7, 2, 5), (9, 1, 5), (5, 0, 5), (None, 2, 5)], key=str)
+
+
+def test_default_pivots_equal_brute_force(spark):
+    """Pivots are in use at default parameters, replicate, prune, and lose no link."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + rng.normal(size=16) * (0.04 if i % 3 else 0.6)).tolist(), i % 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_join.range_join(df).collect()}
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    labels = np.array([x for *_, x in rows])
+    linked = (unit @ unit.T >= 0.98) & (labels[:, None] == labels)
+    np.fill_diagonal(linked, False)
+    assert [out[i][0] for i in range(900)] == linked.sum(axis=1).tolist()
+    report = vector_join.cell_report(df).collect()
+    assert len(report) > 4 and sum(r["homes"] for r in report) == 900 and sum(r["guests"] for r in report) > 0
+    assert sum(r["compared"] for r in report) < 0.8 * 2 * (450 * 449 // 2)

@@ -31,6 +31,13 @@ def test_odd_rows_pass_all_stages(spark, odd_docs, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = materialize(stage(spark, docs, str(tmp_path)), "stage")
         assert (docs.count() > 0) == (rows is odd_docs)
+    once = {r["doc_id"] for r in odd_docs.collect() if r["text"] is not None and any(map(str.isalpha, r["text"]))} - {0, 1, 2, 4, 25, 26, None}
+    docs = odd_docs
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, str(tmp_path)), "stage")
+    packed = docs.collect()
+    assert once - {r["doc_id"] for r in packed} <= {27, 28}  # those two are in no language that was learned
+    assert all(r["length"] * 4 == len(r["ids"]) for r in packed)
 
 
 def test_entry_works_without_the_subpackage():
@@ -56,3 +63,7 @@ def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
     rows = [(1, long), (2, long + " end"), (2, apart), (3, apart + " end"), (3, apart + " end")]
     found = corpus_pipeline.near_deduped(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r["text"].split()[0] for r in found) == ["other0", "word0"]
+    rows = [(None, long), (9, long + " end"), (4, long), (None, apart), (None, apart + " end"), (None, None), (None, "")]
+    found = corpus_pipeline.near_deduped(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"], (r["text"] or "").split()[:1]) for r in found if r["doc_id"]) == [(4, ["word0"])]
+    assert sorted("none" if r["text"] is None else r["text"][:5] for r in found if r["doc_id"] is None) == ["", "none", "other"]

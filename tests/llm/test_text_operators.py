@@ -177,6 +177,47 @@ def test_secrets_equal_a_full_scan(spark, odd_docs, no_docs):
     assert secret_scan.scan(odd_docs).count() == odd_docs.count() and secret_scan.scan(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["eyJ", "eyJaaaaaaaa.", "password=", "AKIA", "a.b:", "bearer ", "ab://c:", "f", "ghp_", "token   "])
+def test_secret_rules_take_linear_time(unit):
+    import time
+
+    scanner = secret_scan.TrigramScanner()
+    taken = []
+    for size in (1 << 18, 1 << 20):
+        began = time.process_time()
+        scanner.spans([(unit * (size // len(unit))).encode()])
+        taken.append(time.process_time() - began)
+    assert taken[1] < 5 and taken[1] < 10 * max(taken[0], 0.05)
+
+
+def test_jwt_needs_a_left_boundary():
+    scanner = secret_scan.TrigramScanner()
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    found = [secret_scan.RULES[k].kind for _, k, _ in scanner.spans([f"x {token} y".encode()])[0]]
+    assert "jwt" in found
+    assert "jwt" not in [secret_scan.RULES[k].kind for _, k, _ in scanner.spans([f"x{token}"[:14].encode()])[0]]
+
+
+def test_more_languages_than_a_word_has_bits():
+    grams = {f"l{i:03d}": np.arange(1000 * i, 1000 * i + 200, dtype=np.uint64) for i in range(130)}
+    model = language_id.LanguageModel.build(grams, 4, 1 << 17, 3)
+    masks = model.masks(grams["l128"])
+    assert masks.shape[1] == 3 and (masks[:, 2] & np.uint64(1)).all()
+    words = {f"{chr(97 + i // 26)}{chr(97 + i % 26)}": f"{chr(97 + i // 26)}{chr(97 + i % 26)}q{chr(97 + i % 26)}zx " * 9 for i in range(100)}
+    model = language_id.LanguageModel.build({k: np.unique(language_id.text_grams(w.encode(), 4)) for k, w in words.items()}, 4, 1 << 17, 3)
+    assert [x for x, _ in model.predict([w.encode() for w in words.values()])] == list(words)
+
+
+def test_parts_of_a_long_text_count_like_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = bytes(rng.choice(np.frombuffer(b"abcde fgh", np.uint8), 1000))
+    model = language_id.LanguageModel.build({"x": np.unique(language_id.text_grams(text[:300], 4)), "y": np.unique(language_id.text_grams(text[300:500], 4))}, 4, 1 << 12, 3)
+    texts = [text[:n] for n in (1, 2, 3, 4, 5, 63, 64, 65, 66, 67, 128, 997, 1000)]
+    whole = model.predict(texts)
+    monkeypatch.setattr(language_id, "PART", 16)
+    assert model.predict(texts) == whole
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query(r"[0-9a-f]+") is True
     assert secret_scan.trigram_query(r"a?b?") is True
@@ -215,6 +256,55 @@ def test_licenses(spark, odd_docs, no_docs):
 ITEM = "Anna has 12 apples and gives 3 apples to Bob. How many apples does Anna have after 12 days?"
 
 
+@pytest.mark.parametrize("name", ["MIT", "GPL-3.0", "MIT-text", "Apache-2.0-notice", "BSD-2-Clause", "BSD-3-Clause"])
+def test_every_adjacent_copy_of_a_license_is_found(name):
+    scanner = license_scan.LicenseScanner(license_scan.TEMPLATES, 0.8)
+    text = license_scan.TEMPLATES[name]
+    for n in (1, 2, 3, 4, 6, 10, 50):
+        for before, after in (("", ""), ("some prose goes before. ", " and some prose after it")):
+            found = [x[0] for x in scanner.scan(before + " ".join([text] * n) + after)]
+            assert found.count(name) == n
+            assert not name.startswith("BSD-") or len({x for x in found if x.endswith("-Clause")}) == 1
+
+
+def test_licenses_equal_a_scan_of_all_windows():
+    """Brute force: some window of the text covers enough of the template by longest common
+    subsequence wherever a license is reported, and none does where nothing is."""
+    rng = random.Random(8)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    names = ("MIT", "CC-BY-4.0", "GPL-3.0", "CC0-1.0", "Unlicense")
+    templates = {n: license_scan.TEMPLATES[n] for n in names}
+    scanner = license_scan.LicenseScanner(templates, 0.8)
+    vocabulary = "the of and a work license under this software public general free".split()
+    for _ in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(30))]
+        inserted = license_scan.words_of(templates[rng.choice(names)])
+        for _ in range(rng.randrange(4)):  # changed, lost and added words
+            at = rng.randrange(len(inserted))
+            inserted[at : at + 1] = rng.choice([[], ["other"], [inserted[at], "more"]])
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = inserted
+        found = {x[0] for x in scanner.scan(" ".join(words))}
+        for name, template in templates.items():
+            template = license_scan.words_of(template)
+            best = max(common(template, words[i : i + 2 * len(template) + 8]) for i in range(max(1, len(words))))
+            if name in found:
+                assert best >= 0.8 * len(template)
+            elif best < len(template):
+                continue
+            else:  # a whole copy without other words in it is always found
+                assert f" {' '.join(template)} " not in f" {' '.join(words)} "
+
+
 def test_decontamination(spark, odd_docs, no_docs):
     benchmark = spark.createDataFrame([(1, ITEM, 0), (2, None, 0), (3, "too short", 0), (4, ITEM, 0), (5, "", 0), (None, "nobody ever wrote these particular seven words here", 0)], "item_id long, text string, doc_id int")
     texts = [
@@ -264,6 +354,25 @@ def test_licenses_that_follow_each_other():
                 assert [x[4:6] for x in found if x[0] == name] == places, (name, copies, between)
 
 
+def test_decontamination_finds_short_items():
+    items = [(1, "What is 12 times 7?"), (2, "Compute 3 plus 9."), (3, "12 + 7 = ?"), (4, "too short")]
+    index, reader = decontaminate.BenchmarkIndex(items, 8, 4), decontaminate.TemplateReader()
+    found = lambda text: {x[0] for x in index.matches(*reader.read(text.encode()), 0.5)}
+    assert found("As they say: what is 12 times 7? Nobody knew.") == {1}
+    assert found("Compute 3 plus 9.") == {2} and found("now COMPUTE 3 plus 9, please") == {2}
+    assert found("so 12 + 7 = ? was asked") == {3}
+    assert found("this is too short") == set() and found("compute 3 plus 10 or 12 7 or what is 12") == set()
+
+
+def test_decontamination_types_names_that_start_a_sentence_and_number_words():
+    item = "Maria buys three apples and gives two of them to a friend who waits outside. How many does Maria keep for her own lunch?"
+    index, reader = decontaminate.BenchmarkIndex([(1, item)], 8, 4), decontaminate.TemplateReader()
+    (match,) = index.matches(*reader.read(item.replace("Maria", "Pedro").replace("three", "nine").replace("two", "4").encode()), 0.5)
+    assert match[2] == match[3] and match[5] == 3
+    spoilt = item.replace("Maria buys", "Pedro buys")  # two names stand for one
+    assert all(x[2] < x[3] for x in index.matches(*reader.read(spoilt.encode()), 0.3))
+
+
 def test_decontamination_finds_items_of_numbers_and_units():
     item = "3 kg 17 m 4 s 12 kg 99 m 5 s 8 kg 41 m 7 s sum 250"
     assert matches(item, f"before {item} after", 1.0)[0][4] == matches(item, item)[0][4] > 0
