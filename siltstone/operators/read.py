@@ -10,7 +10,10 @@ from siltstone.schema import DELETE
 
 
 def in_range(start=None, end=None, key: str = "key") -> Column:
-    """Inclusive key range; None is unbounded, an empty bound is a bound."""
+    """Inclusive key range; None is unbounded, an empty bound is a bound.  One key is an
+    equality, for which the reader can use its bloom filters."""
+    if start is not None and start == end:
+        return F.col(key) == F.lit(start)
     found = F.lit(True)
     if start is not None:
         found = found & (F.col(key) >= F.lit(start))
@@ -44,11 +47,13 @@ def point_get(entries: DataFrame, key, order=("recency", "seq")) -> DataFrame:
 def tri_state(probes: DataFrame, entries: DataFrame, order=("recency", "seq")) -> DataFrame:
     """key, exists_here, is_deleted and value for each probe (O-R3).
 
-    A plain equi-join on the key: which side is broadcast, if any, is left to the
-    optimizer, which knows the sizes.
+    Entries are first reduced to those of a probe, so what is aggregated and shuffled
+    grows with the probes and not with the store.  Which side is broadcast, if any, is
+    left to the optimizer, which knows the sizes.
     """
-    found = newest(entries, order).select("key", "op", "value")
-    return probes.select("key").distinct().join(found, "key", "left").select(
+    asked = probes.select("key").distinct()
+    found = newest(entries.join(asked, "key", "left_semi"), order).select("key", "op", "value")
+    return asked.join(found, "key", "left").select(
         "key",
         F.col("op").isNotNull().alias("exists_here"),
         F.coalesce(F.col("op") == DELETE, F.lit(False)).alias("is_deleted"),

@@ -5,14 +5,13 @@ Keys and values are strings here, so that both engines show the same types.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import bloom, index, merge, read
-from siltstone.sources import changelog, wal
+from siltstone.sources import changelog, wal, workspace
 
 #: The newest entry of a change log is that of the highest generation, then seq.
 ORDER = ("gen", "seq")
@@ -164,15 +163,20 @@ def shadowed_versions(spark, sf_dir):
     return merge.shadowed(kv_log(spark, sf_dir))
 
 
+def _spoilt(log: DataFrame) -> Column:
+    """Every 997th record in the last tenth of the log."""
+    return (F.col("seq") % 997 == 996) & (F.col("seq") * 10 >= log.agg(F.max("seq") * 9).scalar())
+
+
 def wal_replay_prefix(spark, sf_dir):
     log = kv_log(spark, sf_dir)
-    return wal.valid_prefix(log, F.col("seq") % 997 == 996).select("seq", "key", "op", "value")
+    return wal.valid_prefix(log, _spoilt(log)).select("seq", "key", "op", "value")
 
 
 def wal_replay_checksum(spark, sf_dir):
-    """Checksums are made, every 997th is spoilt, and the valid prefix replayed."""
+    """Checksums are made, some in the last tenth are spoilt, and the valid prefix replayed."""
     log = wal.with_crc(kv_log(spark, sf_dir))
-    log = log.withColumn("crc", F.when(F.col("seq") % 997 == 996, F.col("crc") + 1).otherwise(F.col("crc")))
+    log = log.withColumn("crc", F.when(_spoilt(log), F.col("crc") + 1).otherwise(F.col("crc")))
     return wal.valid_prefix(log).select("seq", "key", "op", "value")
 
 
@@ -198,17 +202,44 @@ def store_round_trip(spark, sf_dir):
     """Load the log into a store generation by generation, compact, and scan."""
     from siltstone.store import Store
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-store-")
-    import uuid
-
     log = kv_log(spark, sf_dir)
-    with Store.open(spark, f"{base}/store-{uuid.uuid4().hex}", auto_compact=False) as store:
+    with Store.open(spark, workspace.work_path(spark, "store"), auto_compact=False) as store:
         for gen in range(6):
             store.apply_many(log.where(F.col("gen") == gen))
         store.compact_all()
         return store.scan(ordered=False).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+def store_restart(spark, sf_dir):
+    """Single puts and deletes, read after a restart from the log alone."""
+    from siltstone.store import Store
+
+    path = workspace.work_path(spark, "store")
+    nations = load(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect()  # 25 rows at any scale
+    with Store.open(spark, path, wal_batch=10, auto_compact=False) as store:
+        for r in nations:
+            store.put(r["n_name"].encode(), b"to be overwritten")
+            store.put(r["n_name"].encode(), str(r["n_regionkey"]).encode())
+            if r["n_regionkey"] == 0:
+                store.delete(r["n_name"].encode())
+    with Store.open(spark, path, auto_compact=False) as store:
+        return store.scan(ordered=False).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def store_policy_compaction(spark, sf_dir):
+    """Generations with deletes, a compaction of a ready tier, newer generations above it, and a batched lookup."""
+    from siltstone.store import Store
+
+    log = kv_log(spark, sf_dir)
+    with Store.open(spark, workspace.work_path(spark, "store"), auto_compact=False) as store:
+        for gen in range(6):
+            store.apply_many(log.where(F.col("gen") == gen), batch=("kv_log", gen))
+            if gen == 4:
+                store.compact()
+        asked = probes(spark, sf_dir).select(F.col("key").cast("binary").alias("key"))
+        return store.multi_get(asked).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -217,10 +248,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         memtable_size_bytes, flush_dedupe, flush_boundaries, num_entries, sstable_count, sparse_index, sparse_index_lookup,
         sparse_index_lookup_many, partial_compaction, oldest_compaction, tombstone_audit, shadowed_versions, wal_replay_prefix,
         wal_replay_checksum, upsert_kv, bloom_no_false_negatives, bloom_prunes_lookups, store_round_trip,
+        store_restart, store_policy_compaction,
     )
 }
 
-_LOG = """with kv_log as (
+_LOG = """with recursive kv_log as (
   select event_id as seq, printf('user-%04d/%02d', user_id, cast(event_id % 10 as int)) as key,
          case when event_type = 'error' then 2 else 1 end as op,
          case when event_type = 'error' then null else printf('%s:%.2f', event_type, value) end as value,
@@ -233,7 +265,10 @@ si as (select gen, cast((r - 1) // 64 as int) as chunk, min(key) as first_key, c
        from (select gen, key, row_number() over (partition by gen order by key) r from pl) group by 1, 2)
 """
 _SCAN = "select key, value from d where op = 1"
-_PREFIX = "select seq, key, op, value from kv_log where seq < coalesce((select min(seq) from kv_log where seq % 997 = 996), 9223372036854775807)"
+_PREFIX = (
+    "select seq, key, op, value from kv_log where seq < coalesce((select min(seq) from kv_log where seq % 997 = 996 "
+    "and seq * 10 >= (select max(seq) * 9 from kv_log)), 9223372036854775807)"
+)
 _RANGE = f"key between '{LOW}' and '{HIGH}'"
 
 ORACLE_SQL: dict[str, str] = {
@@ -261,8 +296,12 @@ ORACLE_SQL: dict[str, str] = {
         "memtable_size_bytes": "select gen, cast(sum(strlen(key) + coalesce(strlen(value), 0) + 48) as bigint) as size_bytes from kv_log group by gen",
         "flush_dedupe": "select gen, op, count(*) as entries from pl group by gen, op",
         "flush_boundaries": (
-            f"select cast(running_bytes // {THRESHOLD} as bigint) as flush_no, min(seq) as first_seq, max(seq) as last_seq, max(running_bytes) as running_bytes from "
-            "(select seq, cast(sum(strlen(key) + coalesce(strlen(value), 0) + 48) over (order by seq) as bigint) as running_bytes from kv_log) group by 1"
+            ", sums as (select seq, cast(sum(strlen(key) + coalesce(strlen(value), 0) + 48) over (order by seq) as bigint) as total from kv_log), "
+            "flushes as (select cast(0 as bigint) as flush_no, cast(0 as bigint) as base, "
+            f"(select min(total) from sums where total >= {THRESHOLD}) as upto union all select flush_no + 1, upto, "
+            f"(select min(total) from sums where total >= flushes.upto + {THRESHOLD}) from flushes where upto is not null) "
+            "select flush_no, min(seq) as first_seq, max(seq) as last_seq, max(total) as running_bytes from sums join flushes "
+            "on total > base and (upto is null or total <= upto) group by 1"
         ),
         "num_entries": "select gen, count(*) as entries from pl group by gen",
         "sstable_count": "select count(distinct gen) as generations from kv_log",
@@ -278,6 +317,8 @@ ORACLE_SQL: dict[str, str] = {
         "bloom_no_false_negatives": "select distinct key, true as might_contain from kv_log",
         "bloom_prunes_lookups": "select key, op, value from pl where gen = 2 and key in (select key from p)",
         "store_round_trip": _SCAN,
+        "store_restart": "select n_name as key, cast(n_regionkey as varchar) as value from nation where n_regionkey <> 0",
+        "store_policy_compaction": "select d.key, value from p join d on p.key = d.key where op = 1",
     }.items()
 } | {
     "upsert_kv": (

@@ -44,3 +44,11 @@ def summary(spark: SparkSession, path: str) -> dict:
         .first()
     )
     return row.asDict()
+
+
+def scanned_rows(df: DataFrame) -> int:
+    """Rows that the scans of a DataFrame without exchanges gave when it last ran: what
+    key ranges, statistics and bloom filters could not rule out (O-B7)."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    found = [leaves.apply(i).metrics().get("numOutputRows") for i in range(leaves.size())]
+    return sum(m.get().value() for m in found if m.isDefined())
