@@ -1,77 +1,35 @@
 """Shared plumbing of the training-data operators.
 
 Intermediate tables go to the folder that the cluster names in
-``spark.checkpoint.dir`` (a private folder is set only where none is named, as
-in tests).  They are written as Parquet and read back, so that a lost executor
-costs a retry of single tasks and never the lineage.
+``spark.checkpoint.dir`` (see ``siltstone.sources.workspace``).
 """
 
 from __future__ import annotations
 
-import os
-import sys
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources import workspace
+from siltstone.sources.workspace import materialize, work_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared working folder of the session, as a URI or path."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "work_path"]  # besides what is defined here
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, and bound Arrow batches.
-
-    For the import, nothing to do where PYTHONPATH (or an installed package) has it; else the
-    package goes to the executors as a zip file, once a session.
-    """
-    for name, value in BATCH_LIMITS.items():
-        spark.conf.set(name, value)
-    root = Path(__file__).resolve().parents[2]
-    listed = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
-    context = spark.sparkContext
-    if str(root) in listed or root.name in ("site-packages", "dist-packages") or getattr(context, "_siltstone_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="siltstone-zip-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(root))
-    before = list(sys.path)
-    context.addPyFile(str(target))
-    sys.path[:] = before
-    context._siltstone_shipped = True
+    """Make this package importable on the executors, and bound Arrow batches where the
+    session allows larger ones."""
+    for name, most in BATCH_LIMITS.items():
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+    workspace.ship(spark)
 
 
 #: Bounds of an Arrow batch, so that long texts do not add up in a Python worker.
-BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def tidy(run: Callable) -> Callable:

@@ -29,7 +29,7 @@ BEYOND = re.compile("[^\u0000-ȿ]")
 #: Chunks of more bytes are not remembered.
 LONGEST = 24
 #: Bytes of text that are worked on at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[list(b" \t\n\r\x0b\x0c")] = True
@@ -142,7 +142,7 @@ class ChunkEncoder:
     the library.  ``limit`` bounds the chunks that are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -288,12 +288,12 @@ class ChunkEncoder:
             yield i, text[at:] if at else text
 
 
-def encoder(path: str, limit: int = 1_000_000) -> ChunkEncoder:
+def encoder(path: str, limit: int = 600_000) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file; kept between tasks."""
     return kept(("chunks", path, limit), lambda: ChunkEncoder(path, limit))
 
 
-def slices(batch, rows: int = 2000, size: int = 4 << 20):
+def slices(batch, rows: int = 2000, size: int = 2 << 20):
     """Parts of an Arrow batch (second column: texts) of bounded rows and bytes."""
     import pyarrow.compute as pc
 
