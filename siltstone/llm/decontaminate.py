@@ -39,7 +39,7 @@ table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -73,35 +73,32 @@ _EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w%°²³]+$")
 LITERAL, NUMBER, UNIT, NAME = range(4)
 
 
-class Word(NamedTuple):
-    value: int  # hash of the plain word, 0 for a chunk without a word
-    kind: int  # LITERAL, NUMBER or UNIT
-    capital: bool
-    ends: bool  # the next word starts a sentence
-    common: bool  # no name where it starts a sentence
-    raw: int  # hash of the plain word, or of a chunk without a word
+#: Bits beside the kind of a word: it starts with a capital, the next word starts a sentence,
+#: it is no name where it starts a sentence itself.
+CAPITAL, ENDS, COMMON = 4, 8, 16
 
 
-def read_word(chunk: bytes) -> Word:
-    from xxhash import xxh3_64_intdigest
-
+def read_word(chunk: bytes, digest: Callable) -> tuple[int, int, int]:
+    """(hash of the plain word, 0 for a chunk without one; kind and bits; hash of the plain
+    word or of such a chunk)."""
     text = chunk.decode("utf-8", "replace")
-    body = text[:-1] if text[-1:] in (".", ",") else text
+    last = text[-1]
+    body = text[:-1] if last == "." or last == "," else text
     if body.isalpha():  # by far the most
-        lower, ends = body.casefold(), text[-1] == "."
+        lower = body.casefold()
         kind = UNIT if lower in UNITS else NUMBER if lower in NUMBER_WORDS else LITERAL
-        first_upper = body[0].isupper()
+        flags = kind | (ENDS if last == "." else 0) | (CAPITAL if kind == LITERAL and body[0].isupper() else 0)
     else:
-        ends = text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…", ";")
+        flags = ENDS if text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…", ";") else 0
         plain = _EDGE.sub("", text)
         lower = plain.casefold()
         if not any(map(str.isalnum, plain)) and lower not in UNITS:
-            return Word(0, LITERAL, False, ends, False, xxh3_64_intdigest(text) | 1)
+            return 0, flags, digest(text) | 1
         number = _NUMBER.fullmatch(lower) or all(x in NUMBER_WORDS for x in lower.split("-"))
         kind = NUMBER if number else UNIT if lower in UNITS else LITERAL
-        first_upper = plain[:1].isupper()
-    value = xxh3_64_intdigest(lower.encode()) | 1
-    return Word(value, kind, kind == LITERAL and first_upper, ends, lower in FUNCTION_WORDS, value)
+        flags |= kind | (CAPITAL if kind == LITERAL and plain[:1].isupper() else 0)
+    value = digest(lower) | 1
+    return value, flags | (COMMON if lower in FUNCTION_WORDS else 0), value
 
 
 class TemplateReader:
@@ -112,7 +109,9 @@ class TemplateReader:
     Chunks are remembered, up to ``limit``, as numbers of rows in tables."""
 
     def __init__(self, limit: int = 200_000):
-        self.limit = limit
+        import xxhash
+
+        self.limit, self.digest = limit, xxhash.xxh3_64_intdigest
         self._clear()
 
     def _clear(self) -> None:
@@ -123,11 +122,10 @@ class TemplateReader:
         self.flags = np.zeros(1 << 12, np.uint8)
 
     def _add(self, chunk: bytes) -> int:
-        w = read_word(chunk)
+        value, flags, raw = read_word(chunk, self.digest)
         if self.size == len(self.values):
             self.values, self.raw, self.flags = (np.resize(x, 2 * self.size) for x in (self.values, self.raw, self.flags))
-        self.values[self.size], self.raw[self.size] = w.value, w.raw
-        self.flags[self.size] = w.kind | w.capital << 2 | w.ends << 3 | w.common << 4
+        self.values[self.size], self.raw[self.size], self.flags[self.size] = value, raw, flags
         self.number[chunk] = self.size
         self.size += 1
         return self.size - 1
@@ -143,17 +141,17 @@ class TemplateReader:
         rows = np.array(rows, np.int64)
         values, flags, raw = self.values[rows], self.flags[rows], self.raw[rows]
         starts = np.ones(len(flags), bool)
-        starts[1:] = flags[:-1] & 8
+        starts[1:] = flags[:-1] & ENDS
         keep = values > 0
         # a chunk without a word passes a sentence start on
         if not keep.all():
             last = np.maximum.accumulate(np.where(keep, np.arange(len(keep)), -1))
             before = np.concatenate(([-1], last[:-1]))
-            any_end = np.concatenate(([0], np.cumsum(flags >> 3 & 1)))
+            any_end = np.concatenate(([0], np.cumsum(flags & ENDS > 0)))
             starts = (before < 0) | (any_end[np.arange(len(keep))] - any_end[np.maximum(before, 0)] > 0)
         values, flags, starts = values[keep], flags[keep], starts[keep]
         kinds = flags & 3
-        kinds = np.where((flags & 4 > 0) & ~(starts & (flags & 16 > 0)), NAME, kinds)
+        kinds = np.where((flags & CAPITAL > 0) & ~(starts & (flags & COMMON > 0)), NAME, kinds)
         before, after = kinds[:-1], kinds[1:]
         joined = ((before == NAME) & (after == NAME)) | ((before == NUMBER) & (after == UNIT))
         bounds = np.concatenate(([0] if len(kinds) else [], np.flatnonzero(~joined) + 1, [len(kinds)])).astype(np.int64)
