@@ -32,10 +32,13 @@ def ship(spark: SparkSession) -> None:
 BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` for mapInArrow, after which a worker gives free memory back."""
+def tidy(run: Callable, keeps: bool = False) -> Callable:
+    """``run`` for mapInArrow, after which a worker gives free memory back.  Unless it
+    ``keeps`` an object between tasks itself, it lets go of another operator's."""
 
     def tidied(batches: Iterator) -> Iterator:
+        if not keeps:
+            _KEPT.clear()
         try:
             yield from run(batches)
         finally:
@@ -73,7 +76,7 @@ def text_bytes(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
-def where_text(docs: DataFrame, make: Callable[[], Callable[[list], list[bool]]], rows: int = 256) -> DataFrame:
+def where_text(docs: DataFrame, make: Callable[[], Callable[[list], list[bool]]], rows: int = 256, keeps: bool = False) -> DataFrame:
     """The rows whose text is good; columns as they were.  ``make`` runs in a worker and
     gives a function from UTF-8 texts (or None) to what is good.  Whole rows pass through
     Arrow, so nothing waits in the executor for an answer."""
@@ -91,7 +94,7 @@ def where_text(docs: DataFrame, make: Callable[[], Callable[[list], list[bool]]]
                 if kept_rows.num_rows:
                     yield kept_rows
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run, keeps), docs.schema)
 
 
 def filesystem(uri: str):

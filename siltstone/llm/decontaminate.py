@@ -342,7 +342,7 @@ def find(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     out = None
     for index in _blocks(benchmark, window, least_literal, block_items, block_words):
-        part = rows.mapInArrow(tidy(_lookup(docs, index, least_cover)), f"doc_id long, matches array<struct<{_fields()}>>")
+        part = rows.mapInArrow(tidy(_lookup(docs, index, least_cover), keeps=True), f"doc_id long, matches array<struct<{_fields()}>>")
         part = part.where(F.size("matches") > 0)
         out = part if out is None else out.union(part)
     if out is None:
@@ -356,7 +356,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     The decision is made for each row from its own text, without a join."""
     options = {"window": 8, "least_cover": 0.5, "least_literal": 4, "block_items": 20_000, "block_words": 4_000_000} | options
     for index in _blocks(benchmark, options["window"], options["least_literal"], options["block_items"], options["block_words"]):
-        docs = where_text(docs, _unmatched(docs, index, options["least_cover"]))
+        docs = where_text(docs, _unmatched(docs, index, options["least_cover"]), keeps=True)
     return docs
 
 

@@ -172,4 +172,4 @@ def pack(
         packer.finish()
         yield from rows(0)
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(tidy(run), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(tidy(run, keeps=True), SCHEMA)

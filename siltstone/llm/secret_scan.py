@@ -221,7 +221,7 @@ def scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["doc_id", "secrets"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(tidy(run), schema)
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(tidy(run, keeps=True), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

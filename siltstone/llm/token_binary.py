@@ -185,7 +185,7 @@ def write(
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialize(rows.mapInArrow(tidy(run), MANIFEST), "token-manifest")
+    manifest = materialize(rows.mapInArrow(tidy(run, keeps=True), MANIFEST), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
