@@ -38,6 +38,12 @@ from .similarity import cell_links, merged_cells, united, with_component
 #: Rows up to which the ids of remaining documents are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 
+#: Digests (16 bytes each) that a task remembers, so that equal sets are dealt once.
+SEEN_SETS = 250_000
+
+#: Owner of a token that several sets of a batch hold; no digest starts with it.
+SHARED = np.uint64(0)
+
 
 def counted_prefix(n: int, percent: int) -> int:
     """Size of the prefix whose tokens are counted: n - ceil(0.8 n) + l(n)."""
@@ -70,49 +76,71 @@ def _shingles(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _common_counts(sets: DataFrame, bucket_bits: int) -> DataFrame:
-    """(digest, common): how many prefix tokens of a set occur in another set.
+    """(owner, common): how many prefix tokens of a set occur in another set.
 
     A row of the shuffle holds the tokens of many sets for one bucket; sets are
-    named by the first eight bytes of their digest.
+    named by the first eight bytes of their digest.  Tokens that several sets of a
+    batch hold are counted there, and of each the bucket gets one entry, owned by
+    ``SHARED``, so a token of all documents costs an entry a batch.  Equal sets of
+    several tasks are counted in each: ``common`` may be too large, never too small.
     """
     shift = np.uint64(64 - bucket_bits)
+    kinds = {"bucket": "int32", "tokens": "binary", "owners": "binary", "counts": "binary"}
 
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
                 own = dict(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))  # equal sets once
+                own = {d: p for d, p in own.items() if d not in seen}
+                if len(seen) > SEEN_SETS:
+                    seen.clear()
+                seen.update(own)
                 tokens = [np.frombuffer(p, "<u8") for p in own.values()]
                 if not tokens:
                     continue
                 owner = np.repeat(np.frombuffer(b"".join(d[:8] for d in own), "<u8"), [len(t) for t in tokens])
                 tokens = np.concatenate(tokens)
+                order = np.argsort(tokens, kind="stable")
+                tokens, owner = tokens[order], owner[order]
+                same = tokens[1:] == tokens[:-1]
+                several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+                first = np.concatenate(([True], ~same))
+                found, counts = np.unique(owner[several], return_counts=True)
+                tokens, owner = tokens[first], np.where(several, SHARED, owner)[first]
                 bucket = tokens >> shift
-                order = np.argsort(bucket, kind="stable")
-                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
                 cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
                 low = (tokens >> (shift - np.uint64(32))).astype("<u4")  # the 32 bits below those of the bucket
-                rows = [(int(bucket[a]), low[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                kinds = [pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "tokens", "owners"])
+                rows = [(int(bucket[a]), low[a:b].tobytes(), owner[a:b].tobytes(), b"") for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                if len(found):
+                    rows.append((int(found[0] >> shift), b"", found.tobytes(), counts.astype("<i8").tobytes()))
+                columns = zip(zip(*rows, strict=True), kinds.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.type_for_alias(t)) for c, t in columns], list(kinds))
 
     def count(block):
         import pandas as pd
 
+        known = block["counts"].str.len() > 0  # what batches have counted
+        block, known = block[~known], block[known]
         tokens = np.frombuffer(b"".join(block["tokens"]), "<u4")
         owners = np.frombuffer(b"".join(block["owners"]), "<u8")
         order = np.lexsort((owners, tokens))
         tokens, owners = tokens[order], owners[order]
-        first = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])))
+        again = (tokens[1:] == tokens[:-1]) & (owners[1:] == owners[:-1])
+        first = np.concatenate((np.ones(min(1, len(tokens)), bool), ~again))
         tokens, owners = tokens[first], owners[first]  # a set that came in several rows counts once
         same = tokens[1:] == tokens[:-1]
-        shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        edge = np.zeros(min(1, len(tokens)), bool)
+        shared = (np.concatenate((edge, same)) | np.concatenate((same, edge))) & (owners != SHARED)
         found, counts = np.unique(owners[shared], return_counts=True)
-        return pd.DataFrame({"owner": found.astype(np.int64), "common": counts})
+        found = np.concatenate((found, np.frombuffer(b"".join(known["owners"]), "<u8")))
+        counts = np.concatenate((counts, np.frombuffer(b"".join(known["counts"]), "<i8")))
+        return pd.DataFrame({"owner": found.astype(np.int64), "common": counts.astype(np.int64)})
 
-    dealt = sets.select("digest", "prefix").mapInArrow(tidy(deal), "bucket int, tokens binary, owners binary")
+    dealt = sets.select("digest", "prefix").mapInArrow(tidy(deal), "bucket int, tokens binary, owners binary, counts binary")
     counted = dealt.groupBy("bucket").applyInPandas(count, "owner long, common long")
     return counted.groupBy("owner").agg(F.sum("common").alias("common"))
 
