@@ -15,7 +15,8 @@ repeated attempts are never read.  The manifest (a row per shard) is written as
 table, and the ids before each shard are a running sum over it.
 
 Null texts count as empty: the document is its end id alone.  Rows that repeat a
-doc_id are separate documents, in order of their text.  A null doc_id sorts first
+doc_id are separate documents, in order of a hash of their text, by which they are also
+dealt to shards, so no doc_id (nor the lack of one) has to fit a task.  A null doc_id sorts first
 and is kept as ``NULL_ID`` in a shard.  An empty table has no shards.
 """
 
@@ -184,7 +185,9 @@ def write(
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in MANIFEST.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id, or of none, are dealt by their texts
+    order = ["doc_id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     manifest = materialize(rows.mapInArrow(tidy(run, keeps=True), MANIFEST), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)))

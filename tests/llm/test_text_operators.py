@@ -103,6 +103,21 @@ def test_token_binary_round_trip(spark, odd_docs, no_docs, library, tmp_path):
     assert token_binary.read(token_binary.write(no_docs)).count() == 0
 
 
+def test_token_binary_splits_one_doc_id(spark, library, tmp_path):
+    texts = [f"text {i} of no id" for i in range(300)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(7, "last")], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_binary.write(docs, path=str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.docs for r in manifest.collect()) < 200
+    rows = token_binary.read(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 300 + [7]
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(301)]
+    assert {bytes(r.ids) for r in rows} == {np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in [*texts, "last"]}
+
+
 def test_shard_reads_only_what_is_asked_and_finds_damage(tmp_path):
     import io
 
